@@ -1,0 +1,13 @@
+"""The engine's queries."""
+
+
+def flagship(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
