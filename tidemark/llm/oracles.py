@@ -40,10 +40,10 @@ s AS (SELECT t.conv_id, place // 1024 AS shard, participant, place, speaker = pa
              '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = participant THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head, said
       FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 u AS (SELECT *, head || said || '<|im_end|>' || chr(10) AS turn_text FROM s),
-v AS (SELECT *, coalesce(sum(length(turn_text)) OVER (PARTITION BY conv_id, shard, participant ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM u)
+v AS (SELECT *, coalesce(sum(length(turn_text)) OVER (PARTITION BY conv_id, shard, participant ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM u)
 SELECT conv_id, CAST(shard AS BIGINT) AS shard, participant, count(*) AS n_turns, count(*) FILTER (WHERE trained) AS n_trained,
        string_agg(turn_text, '' ORDER BY place) AS rendered,
-       coalesce(string_agg(CAST(at + length(head) AS VARCHAR) || '-' || CAST(at + length(turn_text) - 1 AS VARCHAR), ',' ORDER BY place) FILTER (WHERE trained), '') AS mask
+       coalesce(string_agg(CAST(base + length(head) AS VARCHAR) || '-' || CAST(base + length(turn_text) - 1 AS VARCHAR), ',' ORDER BY place) FILTER (WHERE trained), '') AS mask
 FROM v GROUP BY conv_id, shard, participant
 """
 
