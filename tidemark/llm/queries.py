@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, minhash, urls
-from .common import table
+from . import bpe, chat, decontaminate, minhash, quality, secrets, simhash, suffixes, toxicity, urls
+from .common import hex_of, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -40,5 +40,34 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("conv_id", "shard", "participant", "n_turns", "n_trained", "rendered", mask.alias("mask"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, where=~toxicity.held_out())
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights, _ = quality.fit(docs)
+    scored = quality.score(docs.select("doc_id", "text"), weights)
+    return scored.select("doc_id", F.col("_score").alias("score"), (F.col("_score") >= quality.KEEP).alias("keep"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, width=1, radius=4)
+    return found.select("doc_id", hex_of(F.get("fingerprint", 0)).alias("fingerprint"), "component_id")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.report(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op3_decontamination": op3_decontamination, "op4_urls": op4_urls, "op7_chat": op7_chat}
+    return {f.__name__: f for f in (op1_bpe, op2_minhash, op3_decontamination, op4_urls, op5_toxicity, op6_suffixes, op7_chat, op8_quality, op9_simhash, op10_secrets)}
