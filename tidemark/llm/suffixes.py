@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, text_of
+from .common import partitions, release, text_of, written
 from .minhash import _mix, runs
 
 SPAN = 100
@@ -250,7 +250,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     """docs: _id (long, no null), _v, _text.  id, at (v and first window), n: runs of windows that also start earlier."""
     rows = _anchored(docs)
     often = rows.groupBy("anchor").count().where("count > 1").select("anchor")
-    held = cut(rows.join(often, "anchor"))
+    held = written(rows.join(often, "anchor"))
+    del rows, often
+    release(docs.sparkSession)
     place = F.struct("id", "at")
     classes = held.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"))
     copied = held.join(classes.where("copies > 1").select("anchor", "content", "first"), ["anchor", "content"]).where(place != F.col("first")).select("id", "at", "n")
@@ -259,7 +261,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     low = (1 << START_BITS) - 1
     met = docs.join(shared, (docs["_id"] == shared["id"]) & (docs["_v"] == F.shiftright("at", START_BITS)))
     segs = met.select("anchor", "classes", "id", "at", "n", F.substring(F.col("_text").cast("binary"), F.col("at").bitwiseAND(low).cast("int") + 1, F.col("n") + (SPAN - 1)).alias("seg"))
-    segs = cut(segs)
+    segs = written(segs)
+    del met
+    release(docs.sparkSession)
     few = _by_suffixes(segs.where(F.col("classes") <= MANY))
     windows = segs.where(F.col("classes") > MANY).select("id", "at", "seg", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     windows = windows.select("id", (F.col("at") + F.col("i")).alias("at"), F.md5(F.substring("seg", F.col("i") + 1, F.lit(SPAN))).alias("digest"))
