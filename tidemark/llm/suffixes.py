@@ -41,7 +41,8 @@ from .minhash import _mix, runs
 
 SPAN = 100
 GRAM = 24
-MANY = 256
+#: Classes of an anchor that one task takes: their segments have about 150 bytes each, the direct sort a hundred times half of that.
+MANY = 4096
 PIECE = 4 << 20
 BLOCK = 1 << 18
 START_BITS = 40
