@@ -101,32 +101,30 @@ def _ball(reach: int) -> list[int]:
 
 
 def _pairs_within(nodes: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[list, list]:
-    """A spanning forest of the links between members marked left and members marked right."""
-    n = len(nodes)
+    """Each member (of ascending nodes) beside the first of its tree, by the links between members marked left and members marked right.
+
+    Buckets that hold the same fingerprints thus give the same edges.
+    """
     i, j = np.flatnonzero(left), np.flatnonzero(right)
-    label = np.arange(n)
-    near_i, near_j = [], []
+    label = np.arange(len(nodes))
     step = max(1, (1 << 20) // max(1, len(j)))
     for low in range(0, len(i), step):
         own = i[low : low + step]
         apart = sum(np.bitwise_count(words[own, None, k] ^ words[None, j, k]).astype(np.int32) for k in range(words.shape[1]))
         a, b = np.nonzero(apart <= radius)
         a, b = own[a], j[b]
-        # Only what joins two trees stays, however many pairs are near.
         while len(a):
             x, y = label[a], label[b]
-            apart_still = x != y
-            a, b, x, y = a[apart_still], b[apart_still], x[apart_still], y[apart_still]
+            still = x != y
+            a, b, x, y = a[still], b[still], x[still], y[still]
             if not len(a):
                 break
             high, at = np.unique(np.maximum(x, y), return_index=True)
-            small = np.minimum(x, y)[at]
-            near_i += a[at].tolist()
-            near_j += b[at].tolist()
-            label[high] = small  # a root is hung below a smaller one: no cycle
+            label[high] = np.minimum(x, y)[at]  # a root is hung below a smaller one: no cycle
             while (label[label] != label).any():
                 label = label[label]
-    return near_i, near_j
+    member = np.flatnonzero(label != np.arange(len(nodes)))
+    return member.tolist(), label[member].tolist()
 
 
 def links(nodes: DataFrame, *, radius: int = 4, reach: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -155,7 +153,7 @@ def links(nodes: DataFrame, *, radius: int = 4, reach: int | None = None, block:
         sides = sides.withColumn("fingerprint", F.array("node"))
     else:
         sides = sides.join(nodes, "node")
-    sides = sides.repartition(partitions(spark), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    sides = sides.repartition(partitions(spark), "key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
 
     def compare(keys: np.ndarray, node: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[list, list]:
         begin = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
