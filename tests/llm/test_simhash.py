@@ -78,6 +78,27 @@ def test_links_find_every_component(spark):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
 
 
+def test_components_of_any_shape(spark):
+    rng = random.Random(3)
+    chains = [(i, i + 2) for i in range(0, 60)] + [(60, 61)]  # two chains that meet at the far end
+    star = [(100 + i, 200) for i in range(50)] + [(100 + i, 200 + j) for i in range(10) for j in range(1, 20)]
+    loose = [tuple(sorted(rng.sample(range(1000, 1400), 2))) for _ in range(200)]
+    down = [(-i - 1, -i) for i in range(500, 540)]
+    found = chains + star + loose + down
+    rows = simhash.components(spark.createDataFrame(sorted(set(found)), "a long, b long")).collect()
+    label = {r.node: r.label for r in rows}
+    assert len(label) == len(rows)
+    root = {x: x for e in found for x in e}
+    for _ in range(len(root)):
+        was = dict(root)
+        for a, b in found:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == was:
+            break
+    assert {x: label.get(x, x) for x in root} == root
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_wider_fingerprints():
     rows = simhash.fingerprint_rows([b"a b c d e f g", b"", b"a b c d e f g"], 5, 3)
     assert rows.shape == (3, 3) and (rows[0] == rows[2]).all() and not rows[1].any() and len(set(rows[0].tolist())) == 3

@@ -16,8 +16,8 @@ the whole 64 bits within 2 would be 2,081 for each fingerprint instead of 66.
 Equal fingerprints are one class from the start, so copies cost nothing.
 Buckets of more than BLOCK fingerprints are compared block by block; a task
 gives, for what it compares, no more edges than fingerprints (a spanning
-forest).  Components are found by min-label propagation with pointer jumping,
-on Spark.
+forest).  Components are found by contraction: hooking to the least neighbour,
+pointer jumping, and moving the remaining edges to the roots, on Spark.
 
 Null and empty texts have no words: fingerprint zero, linked like any other.
 Every row of docs has a row in the result; the smallest id reachable leaves out
@@ -199,17 +199,41 @@ def _moved(masks, value, part: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node reachable) of the nodes on edges (a, b)."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")))
-    label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    """node, label (the smallest node reachable) of the nodes on edges (a < b) that are not the smallest of theirs.
+
+    In each round a node hangs below its least smaller neighbour, and its other smaller
+    neighbours are tied to that one instead: what many nodes of a dense group say of the same
+    few becomes one edge.  The trees are flattened, and the remaining edges move to their roots.
+    """
+    edges, label = cut(edges.select("a", "b")), None
+    while True:
+        least = cut(edges.groupBy("b").agg(F.min("a").alias("up"), F.count("*").alias("n")))
+        tied = edges.join(least.where("n > 1").drop("n"), "b").where("a <> up").select(F.col("up").alias("a"), F.col("a").alias("b"))
+        tied = cut(tied.distinct())
+        tree = _flat(least.select(F.col("b").alias("node"), "up"))
+        root = tree.select("node", F.col("up").alias("root"))
+        if label is None:
+            label = tree
+        else:
+            moved = label.join(root.withColumnRenamed("node", "up"), "up", "left").select("node", F.coalesce("root", "up").alias("up"))
+            label = cut(moved.union(tree))
+        if tied.isEmpty():
+            return label.select("node", F.col("up").alias("label"))
+        for end in ("a", "b"):
+            tied = tied.join(root.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+        edges = cut(tied.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        if edges.isEmpty():
+            return label.select("node", F.col("up").alias("label"))
+
+
+def _flat(tree: DataFrame) -> DataFrame:
+    """node, up: each node below its root, by pointer jumping; up < node."""
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        least = label.join(near, label["node"] == near["a"]).select("node", F.least("label", "l").alias("label"), F.col("label").alias("was"))
-        up = least.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        step = cut(least.join(up, "label", "left").select("node", F.least("label", "above").alias("label"), "was"))
-        label = step.select("node", "label")
-        if step.where("label < was").isEmpty():
-            return label
+        above = tree.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        step = cut(tree.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
+        tree = step.select("node", "up")
+        if step.where("moved").isEmpty():
+            return tree
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, width: int, radius: int, reach: int | None) -> tuple[DataFrame, DataFrame]:
