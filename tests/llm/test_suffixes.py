@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.llm import suffixes
+from tidemark.llm import common, suffixes
 
 
 def brute(docs):
@@ -49,6 +49,16 @@ def test_against_brute_force(spark, monkeypatch, many):
     assert len(rows) == len(texts)
 
 
+def test_hot_anchors_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "MANY", 2)
+    monkeypatch.setattr(common, "HOT", 1 << 40)
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    texts = corpus(3) * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: bytes(r.kept) for r in suffixes.remove_repeats(docs).collect()}
+    assert [rows[i] for i in range(len(texts))] == [x[3] for x in brute(list(enumerate(texts)))]
+
+
 def test_rows_alike_null_ids_and_empty(spark):
     text = "".join(random.Random(4).choices("abcdefgh", k=150))
     docs = spark.createDataFrame([(2, text), (2, text), (None, text), (7, "z" + text)], "doc_id long, text string")

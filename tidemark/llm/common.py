@@ -42,6 +42,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: A key with over one in HOT of all rows, and over HOT_ROWS, is dealt out over several tasks; there are fewer than HOT such keys.
+HOT, HOT_ROWS = 1024, 4096
+
+
+def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], *, count: str, total: int, by: list[str]) -> DataFrame:
+    """left joined with right, which has each key once and in `count` its rows in left; total: the sum of these, or more.
+
+    Rows of a hot key are dealt out by a hash of the columns `by`, and right's row is
+    repeated for each share.  The hot keys are broadcast: there are fewer than HOT.
+    """
+    limit = max(HOT_ROWS, total // HOT)
+    shares = F.ceil(F.col(count) / limit).cast("int")
+    hot = right.where(F.col(count) > limit).select(*keys, shares.alias("_shares"))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("_share", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_shares")).cast("int"), F.lit(0))).drop("_shares")
+    repeated = right.withColumn("_share", F.explode(F.sequence(F.lit(0), F.greatest(shares, F.lit(1)) - 1)))
+    return dealt.join(repeated, [*keys, "_share"]).drop("_share")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,6 +20,9 @@ one.  Then
 4. an anchor with more than MANY classes is dealt out by its windows instead:
    each becomes a row, equal ones are aggregated.
 
+Anchors, classes and windows that hold a large share of all rows are dealt out over
+several tasks wherever rows meet by them.
+
 Null texts are empty; texts of fewer than SPAN bytes are kept.  Ids are integers;
 null ids come first.  Rows that share an id are ordered by a hash of the text;
 rows alike in both are one document and have its result each.  Texts longer than
@@ -36,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, release, text_of, written
+from .common import join_dealt, partitions, release, text_of, written
 from .minhash import _mix, runs
 
 SPAN = 100
@@ -249,28 +252,38 @@ def _by_suffixes(sides: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """docs: _id (long, no null), _v, _text.  id, at (v and first window), n: runs of windows that also start earlier."""
+    spark = docs.sparkSession
     rows = _anchored(docs)
-    often = rows.groupBy("anchor").count().where("count > 1").select("anchor")
-    held = written(rows.join(often, "anchor"))
+    often = written(rows.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1"))
+    release(spark)
+    total = often.agg(F.sum("rows")).head()[0] or 0
+    held = written(join_dealt(rows, often, ["anchor"], count="rows", total=total, by=["id", "at"]).drop("rows"))
     del rows, often
-    release(docs.sparkSession)
+    release(spark)
     place = F.struct("id", "at")
-    classes = held.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n"))
-    copied = held.join(classes.where("copies > 1").select("anchor", "content", "first"), ["anchor", "content"]).where(place != F.col("first")).select("id", "at", "n")
-    sharing = classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1")
-    shared = classes.join(sharing, "anchor").select("anchor", "classes", F.col("first.id").alias("id"), F.col("first.at").alias("at"), "n")
+    classes = written(held.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n")))
+    release(spark)
+    again = classes.where("copies > 1").select("anchor", "content", "first", "copies")
+    copied = join_dealt(held, again, ["anchor", "content"], count="copies", total=total, by=["id", "at"]).where(place != F.col("first")).select("id", "at", "n")
+    sharing = written(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"))
+    parted = classes.select("anchor", F.col("first.id").alias("id"), F.col("first.at").alias("at"), "n")
+    shared = join_dealt(parted, sharing, ["anchor"], count="classes", total=classes.count(), by=["id", "at"])
     low = (1 << START_BITS) - 1
     met = docs.join(shared, (docs["_id"] == shared["id"]) & (docs["_v"] == F.shiftright("at", START_BITS)))
     segs = met.select("anchor", "classes", "id", "at", "n", F.substring(F.col("_text").cast("binary"), F.col("at").bitwiseAND(low).cast("int") + 1, F.col("n") + (SPAN - 1)).alias("seg"))
     segs = written(segs)
-    del met
-    release(docs.sparkSession)
-    few = _by_suffixes(segs.where(F.col("classes") <= MANY))
-    windows = segs.where(F.col("classes") > MANY).select("id", "at", "seg", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    windows = windows.select("id", (F.col("at") + F.col("i")).alias("at"), F.md5(F.substring("seg", F.col("i") + 1, F.lit(SPAN))).alias("digest"))
-    first = windows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
-    many = windows.join(first, "digest").where(place != F.col("first")).select("id", "at")
-    return copied.unionByName(few.unionByName(many).withColumn("n", F.lit(1)))
+    del met, shared, parted, sharing
+    release(spark)
+    single = _by_suffixes(segs.where(F.col("classes") <= MANY))
+    crowded = segs.where(F.col("classes") > MANY)
+    total = crowded.agg(F.sum("n")).head()[0]
+    if total:
+        windows = crowded.select("id", "at", "seg", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+        windows = windows.select("id", (F.col("at") + F.col("i")).alias("at"), F.md5(F.substring("seg", F.col("i") + 1, F.lit(SPAN))).alias("digest"))
+        first = written(windows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1"))
+        many = join_dealt(windows, first, ["digest"], count="c", total=total, by=["id", "at"]).where(place != F.col("first")).select("id", "at")
+        single = single.unionByName(many)
+    return copied.unionByName(single.withColumn("n", F.lit(1)))
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
