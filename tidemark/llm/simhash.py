@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in runs(batch.column(1), 4 << 20):
+            for low, high in runs(batch.column(1), 1 << 20):
                 texts = [x or b"" for x in batch.column(1).slice(low, high - low).cast(pa.binary()).to_pylist()]
                 rows = fingerprint_rows(texts, shingle, width).view(np.int64)
                 held = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, width), pa.int32()), pa.array(rows.ravel()))
