@@ -131,3 +131,44 @@ def test_bits_match_numpy():
     h = simhash.shingle_hashes(b"One two THREE four five", 4)
     assert [int(x) for x in h] == [xxhash.xxh64_intdigest(g, 42) for g in (b"one two three four", b"two three four five")]
     assert simhash.fingerprint_rows([b""], 4).tolist() == [[0]] and np.uint64(0) == simhash.fingerprint_rows([b" "], 4)[0, 0]
+
+
+def shingles_of(text, k=5):
+    words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+def likeness(a, b):
+    x, y = shingles_of(a), shingles_of(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def edited_to(rng, words, similarity):
+    """words with single words replaced, far apart, until the similarity is just above or below."""
+    other, places = list(words), rng.sample(range(5, len(words) - 5, 6), len(words) // 8)
+    for p in places:
+        held = list(other)
+        other[p] = f"e{rng.randrange(10**6)}"
+        if likeness(" ".join(words), " ".join(other)) < similarity:
+            return " ".join(held)
+    raise AssertionError
+
+
+def brute_kept(items):
+    label = list(range(len(items)))
+    for i in range(len(items)):
+        for j in range(i):
+            if label[i] != label[j] and likeness(items[i], items[j]) >= 0.8:
+                x, y = sorted((label[i], label[j]))
+                label = [x if k == y else k for k in label]
+    return sorted(set(label))
+
+
+def test_keep_one_finds_pairs_at_the_required_similarity(spark):
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(50000)}" for _ in range(rng.randint(250, 400))] for _ in range(100)]
+    near = [edited_to(rng, w, 0.8 + 0.1 * (i % 10) / 10) for i, w in enumerate(base)]
+    items = [" ".join(w) for w in base] + near + texts(60, 5)
+    assert all(0.8 <= likeness(items[i], near[i]) < 0.95 for i in range(100))
+    kept = sorted(r.doc_id for r in simhash.keep_one(documents(spark, items)).collect())
+    assert kept == brute_kept(items) and not [i for i in kept if 100 <= i < 200]

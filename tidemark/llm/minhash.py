@@ -84,8 +84,12 @@ def shingle_hashes(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray,
 
 def signatures(texts: list[bytes], size: int = SHINGLE, n: int = PERMUTATIONS) -> np.ndarray:
     """len(texts) x n components."""
-    hashes, count = shingle_hashes(texts, size)
-    out = np.full((len(texts), n), NONE >> np.uint64(32), "<u4")
+    return minima(*shingle_hashes(texts, size), n)
+
+
+def minima(hashes: np.ndarray, count: np.ndarray, n: int = PERMUTATIONS) -> np.ndarray:
+    """The signatures of texts that have `count` of the shingle hashes each."""
+    out = np.full((len(count), n), NONE >> np.uint64(32), "<u4")
     full = np.flatnonzero(count)
     if not len(full):
         return out
