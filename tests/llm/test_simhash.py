@@ -172,3 +172,22 @@ def test_keep_one_finds_pairs_at_the_required_similarity(spark):
     assert all(0.8 <= likeness(items[i], near[i]) < 0.95 for i in range(100))
     kept = sorted(r.doc_id for r in simhash.keep_one(documents(spark, items)).collect())
     assert kept == brute_kept(items) and not [i for i in kept if 100 <= i < 200]
+
+
+def test_keep_one_keeps_what_is_less_alike(spark):
+    rng = random.Random(13)
+    passage = [f"p{rng.randrange(50000)}" for _ in range(300)]
+    template = [" ".join(passage + [f"t{rng.randrange(10**6)}" for _ in range(rng.randint(45, 60))]) for _ in range(80)]  # 0.71 to 0.77 with one another
+    base = [[f"w{rng.randrange(50000)}" for _ in range(rng.randint(250, 400))] for _ in range(40)]
+    items = template + [" ".join(w) for w in base] + [edited_to(rng, w, 0.70 + 0.002 * i) for i, w in enumerate(base)]
+    assert all(0.68 <= likeness(a, b) < 0.8 for a, b in zip(template, template[1:], strict=False))
+    want = brute_kept(items)
+    assert len(want) >= 150 and sorted(r.doc_id for r in simhash.keep_one(documents(spark, items)).collect()) == want
+
+
+def test_keep_one_compares_block_with_block(spark, monkeypatch):
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(50000)}" for _ in range(200)]
+    items = [" ".join(base[:140] + [f"t{rng.randrange(10**6)}" for _ in range(rng.randint(20, 60))]) for _ in range(20)] + texts(40, 5)
+    monkeypatch.setattr(simhash, "SHINGLES", 800)
+    assert sorted(r.doc_id for r in simhash.keep_one(documents(spark, items)).collect()) == brute_kept(items)
