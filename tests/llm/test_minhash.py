@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from tidemark.llm import minhash
@@ -50,18 +52,81 @@ def test_one_none_repeated_and_null_ids(spark):
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.edited) for r in rows) == [(False, 0, "ab"), (True, 1, "b"), (True, 1, "bb"), (True, 2, "")]
 
 
+def likeness(a, b):
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def brute_clusters(items, similarity=0.8):
+    """The smallest place in items of each one's component of links."""
+    label = list(range(len(items)))
+    for i in range(len(items)):
+        for j in range(i):
+            if label[i] != label[j] and likeness(items[i] or "", items[j] or "") >= similarity:
+                x, y = sorted((label[i], label[j]))
+                label = [x if k == y else k for k in label]
+    return label
+
+
+def clusters(docs, **options):
+    return sorted(((r.id, r.cluster_id) for r in minhash.near_duplicates(docs, **options).collect()), key=str)
+
+
+def template(rng, n, common, own):
+    passage = [f"p{rng.randrange(50000)}" for _ in range(common)]
+    return [" ".join(passage + [f"t{rng.randrange(10**6)}" for _ in range(rng.randint(*own))]) for _ in range(n)]
+
+
 def test_near_duplicates(spark):
     items = texts(50)
-    docs = documents(spark, items)
-    found = {(r.a, r.b) for r in minhash.near_duplicates(docs, block=4).collect()}
-    first = {}
-    for i, t in enumerate(items):
-        first.setdefault(t or "", i)
-    reps = sorted(first.values())
-    want = set()
-    for k, a in enumerate(reps):
-        for b in reps[k + 1 :]:
-            x, y = shingles(items[a] or ""), shingles(items[b] or "")
-            if not (x or y) or x | y and len(x & y) / len(x | y) >= 0.8:
-                want.add((a, b))
-    assert found == want and want
+    assert clusters(documents(spark, items)) == sorted(enumerate(brute_clusters(items)), key=str)
+
+
+def test_groups_that_differ_from_their_centre(spark, monkeypatch):
+    """Chains, and templates at 0.7 to 0.9: what the least member of a bucket does not settle is compared block by block."""
+    rng = random.Random(21)
+    chain = [[f"w{rng.randrange(50000)}" for _ in range(200)]]
+    for _ in range(25):
+        other = list(chain[-1])
+        for p in rng.sample(range(0, 200, 6), 3):
+            other[p] = f"e{rng.randrange(10**6)}"
+        chain.append(other)
+    items = [" ".join(w) for w in chain] + template(rng, 40, 300, (20, 70)) + template(rng, 20, 140, (10, 60)) + texts(30, 5)
+    rng.shuffle(items)
+    want = brute_clusters(items)
+    assert len(set(want)) < len(set(items)) - 20
+    for block in (1 << 17, 900):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        assert clusters(documents(spark, items)) == sorted(enumerate(want), key=str)
+
+
+def test_recall_by_similarity(spark):
+    """Pairs of 0.80 to 0.95: all must be found (a miss has a chance of 5e-5 at 0.8)."""
+    rng = random.Random(22)
+    base = [[f"w{rng.randrange(50000)}" for _ in range(rng.randint(250, 400))] for _ in range(300)]
+    near = []
+    for k, words in enumerate(base):
+        other, goal = list(words), 0.80 + 0.15 * k / 300
+        for p in rng.sample(range(5, len(words) - 5, 6), len(words) // 8):
+            held = list(other)
+            other[p] = f"e{rng.randrange(10**6)}"
+            if likeness(" ".join(words), " ".join(other)) < goal:
+                break
+        near.append(" ".join(held))
+    docs = documents(spark, [" ".join(w) for w in base] + near)
+    assert dict(clusters(docs)) == {i: i % 300 for i in range(600)}
+
+
+def test_ids_of_any_kind(spark):
+    same, other = "one two three four five six", "another text of some six words"
+    docs = spark.createDataFrame([("b", same, 1), ("a", same, 2), (None, other, 3), ("c", other, 4), ("c", same, 5), (None, None, 6), ("d", "", 7), ("d", "", 8)], "doc_id string, text string, node int")
+    assert clusters(docs) == sorted([("b", "a"), ("a", "a"), (None, "c"), ("c", "c"), ("c", "a"), (None, "d"), ("d", "d"), ("d", "d")], key=str)
+    assert minhash.near_duplicates(docs.limit(0)).count() == 0
+    rows = minhash.compare_edits(docs, notes=minhash.near_duplicates(docs)).collect()
+    assert sorted([(r.doc_id, r.note) for r in rows], key=str) == clusters(docs)
+
+
+def test_notes_are_of_their_own_text(spark):
+    docs = documents(spark, texts(40)).unionByName(documents(spark, texts(5, 9)))
+    rows = minhash.compare_edits(docs, notes=minhash.near_duplicates(docs)).collect()
+    assert sorted([(r.doc_id, r.note) for r in rows], key=str) == clusters(docs)

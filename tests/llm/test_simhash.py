@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from tidemark.llm import simhash
+from tidemark.llm import graph, minhash, simhash
 
 from .helpers import documents, texts
 
@@ -68,7 +68,7 @@ def test_links_find_every_component(spark):
                 seed = x
     want = brute_components(prints, 4)
     for block in (4, 1024):
-        label = {r.node & (2**64 - 1): r.label for r in simhash.components(simhash.links(nodes_of(spark, prints), block=block)).collect()}
+        label = {r.node & (2**64 - 1): r.label for r in graph.components(simhash.links(nodes_of(spark, prints), block=block)).collect()}
         groups = {}
         for f, c in want.items():
             groups.setdefault(c, set()).add(f)
@@ -85,7 +85,7 @@ def test_components_of_any_shape(spark):
     loose = [tuple(sorted(rng.sample(range(1000, 1400), 2))) for _ in range(200)]
     down = [(-i - 1, -i) for i in range(500, 540)]
     found = chains + star + loose + down
-    rows = simhash.components(spark.createDataFrame(sorted(set(found)), "a long, b long")).collect()
+    rows = graph.components(spark.createDataFrame(sorted(set(found)), "a long, b long")).collect()
     label = {r.node: r.label for r in rows}
     assert len(label) == len(rows)
     root = {x: x for e in found for x in e}
@@ -96,7 +96,7 @@ def test_components_of_any_shape(spark):
         if root == was:
             break
     assert {x: label.get(x, x) for x in root} == root
-    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_wider_fingerprints():
@@ -115,6 +115,13 @@ def test_ids(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_alike_are_one(spark):
+    rows = [(1, None, "x", 1), (1, "", "y", 2), (1, "", "a", 3), (None, "some text here of words", "b", 4), (None, "some text here of words", "b", 4), (2, "words of another sort here", "c", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _id int")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([rows[2], rows[4], rows[5]], key=str)
+
+
 def test_keep_one_catches_light_edits(spark):
     rng = random.Random(6)
     base = [[f"w{rng.randrange(5000)}" for _ in range(300)] for _ in range(20)]
@@ -189,5 +196,5 @@ def test_keep_one_compares_block_with_block(spark, monkeypatch):
     rng = random.Random(14)
     base = [f"w{rng.randrange(50000)}" for _ in range(200)]
     items = [" ".join(base[:140] + [f"t{rng.randrange(10**6)}" for _ in range(rng.randint(20, 60))]) for _ in range(20)] + texts(40, 5)
-    monkeypatch.setattr(simhash, "SHINGLES", 800)
+    monkeypatch.setattr(minhash, "BLOCK", 800)
     assert sorted(r.doc_id for r in simhash.keep_one(documents(spark, items)).collect()) == brute_kept(items)

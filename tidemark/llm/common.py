@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
+import re
 import tempfile
 import uuid
 
@@ -15,11 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local one is set only where the session has none (tests)."""
+    """The session's ``spark.checkpoint.dir``.  A local session without one (tests) gets a temporary folder; on a cluster it must be set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+        if folder is None:
+            if not re.match(r"local(\[|$)", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -29,11 +36,42 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Folders of written tables that are still there.
+_left: set[tuple[SparkSession, str]] = set()
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Like cut(), as a Parquet table, which is a fraction of a checkpoint's size for many narrow rows."""
-    folder = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    """Like cut(), as a Parquet table, which is a fraction of a checkpoint's size for many narrow rows.
+
+    It stays until discard(), or until the application ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    _left.add((spark, folder))
+    return spark.read.parquet(folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of written() tables that nothing will read again; tables that came from elsewhere are left alone."""
+    for df in tables:
+        files = df.inputFiles()
+        for spark, folder in list(_left):
+            if any(f"/{folder.rsplit('/', 1)[1]}/" in f for f in files):
+                remove(spark, folder)
+                _left.discard((spark, folder))
+
+
+@atexit.register
+def _discard_all() -> None:
+    for spark, folder in list(_left):
+        with contextlib.suppress(Exception):  # the application may be gone already
+            remove(spark, folder)
 
 
 def release(spark: SparkSession) -> None:

@@ -21,8 +21,9 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = minhash.compare_edits(table(spark, sf_dir, "documents"))
-    return near.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.lower(F.hex("signature")).alias("fingerprint"), F.lower(F.hex("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next")
+    docs = table(spark, sf_dir, "documents")
+    near = minhash.compare_edits(docs, notes=minhash.near_duplicates(docs))
+    return near.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.lower(F.hex("signature")).alias("fingerprint"), F.lower(F.hex("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next", F.col("note").alias("cluster_id"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

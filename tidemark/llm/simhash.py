@@ -16,16 +16,17 @@ the whole 64 bits within 2 would be 2,081 for each fingerprint instead of 66.
 Equal fingerprints are one class from the start, so copies cost nothing.
 Buckets of more than BLOCK fingerprints are compared block by block; a task
 gives, for what it compares, no more edges than fingerprints (a spanning
-forest).  Components are found by contraction: hooking to the least neighbour,
-pointer jumping, and moving the remaining edges to the roots, on Spark.
+forest).  Components are found by contraction, on Spark (``graph``).
 
 keep_one() is about a given similarity of the shingle sets, of which fingerprints
 are only an estimate: MinHash bands find its candidates, and whole shingle sets
 decide.  Its words and shingles are those of minhash.
 
 Null and empty texts have no words: fingerprint zero, linked like any other.
-Every row of docs has a row in the result; the smallest id reachable leaves out
-null ids (null if there is no other).
+Every row of docs has a row in the result, also repeated ones; the smallest id
+reachable leaves out null ids (null if there is no other).  An empty table gives
+an empty one.  Texts of any length count whole.  Only the id and text columns are
+read; keep_one() gives all columns back as they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,14 +40,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import cut, partitions, text_key
+from .common import discard, partitions, text_key, written
+from .graph import components
 from .minhash import _mix, runs
 
 BLOCK = 1024
-#: keep_one(): MinHash bands of so many components each; sets alike to 0.8 meet in one with a probability of 1 - 5e-7.
-BANDS, ROWS = 48, 6
-#: keep_one(): shingles in one side of a comparison, about.
-SHINGLES = 1 << 18
 PART_BITS = 32
 _LANES = np.uint64(0x0000000100000001)
 
@@ -153,7 +151,8 @@ def links(nodes: DataFrame, *, radius: int = 4, reach: int | None = None, block:
         return (F.shiftrightunsigned(word, 32) if i % 2 else word).bitwiseAND(0xFFFFFFFF)
 
     variants = F.flatten(F.array(*[_moved(masks, part(p), p) for p in range(parts)]))
-    emitted = nodes.select("node", F.explode(variants).alias("key"))
+    # Nodes are few and narrow, variants many: they are made in as many tasks as a shuffle has.
+    emitted = nodes.repartition(partitions(spark), "node").select("node", F.explode(variants).alias("key"))
     full = emitted.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     own = emitted.join(full, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     sides = own.select("key", "node", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
@@ -207,195 +206,50 @@ def _moved(masks, value, part: int):
     return F.transform(masks, lambda m: value.bitwiseXOR(m).bitwiseOR(F.lit(part << PART_BITS).cast("long")))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (the smallest node reachable) of the nodes on edges (a < b) that are not the smallest of theirs.
-
-    In each round a node hangs below its least smaller neighbour, and its other smaller
-    neighbours are tied to that one instead: what many nodes of a dense group say of the same
-    few becomes one edge.  The trees are flattened, and the remaining edges move to their roots.
-    """
-    edges, label = cut(edges.select("a", "b")), None
-    while True:
-        least = cut(edges.groupBy("b").agg(F.min("a").alias("up"), F.count("*").alias("n")))
-        tied = edges.join(least.where("n > 1").drop("n"), "b").where("a <> up").select(F.col("up").alias("a"), F.col("a").alias("b"))
-        tied = cut(tied.distinct())
-        tree = _flat(least.select(F.col("b").alias("node"), "up"))
-        root = tree.select("node", F.col("up").alias("root"))
-        if label is None:
-            label = tree
-        else:
-            moved = label.join(root.withColumnRenamed("node", "up"), "up", "left").select("node", F.coalesce("root", "up").alias("up"))
-            label = cut(moved.union(tree))
-        if tied.isEmpty():
-            return label.select("node", F.col("up").alias("label"))
-        for end in ("a", "b"):
-            tied = tied.join(root.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
-        edges = cut(tied.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if edges.isEmpty():
-            return label.select("node", F.col("up").alias("label"))
-
-
-def _flat(tree: DataFrame) -> DataFrame:
-    """node, up: each node below its root, by pointer jumping; up < node."""
-    while True:
-        above = tree.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        step = cut(tree.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
-        tree = step.select("node", "up")
-        if step.where("moved").isEmpty():
-            return tree
-
-
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, width: int, radius: int, reach: int | None) -> tuple[DataFrame, DataFrame]:
-    """Rows (id_col, text_key, fingerprint, node), and node, label: the component of each fingerprint."""
+    """Rows (id_col, text_key, fingerprint, node), and node, _least (its smallest id), label: the component of each fingerprint."""
     keyed = docs.select(F.col(id_col), F.struct(F.col(id_col).alias("id"), text_key(text_col).alias("key")).alias("_row"), F.col(text_col))
     own = fingerprints(keyed.drop(id_col), id_col="_row", text_col=text_col, shingle=shingle, width=width)
     own = own.select(F.col("_row.id").alias(id_col), F.col("_row.key").alias("text_key"), "fingerprint", (F.get("fingerprint", 0) if width == 1 else F.xxhash64("fingerprint")).alias("node"))
-    own = cut(own)
-    nodes = cut(own.groupBy("node").agg(F.first("fingerprint").alias("fingerprint")))
-    label = components(links(nodes, radius=radius, reach=reach))
-    return own, nodes.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    own = written(own)
+    nodes = written(own.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.min(id_col).alias("_least")))
+    found = written(links(nodes.select("node", "fingerprint"), radius=radius, reach=reach))
+    label = components(found)
+    known = written(nodes.select("node", "_least").join(label, "node", "left").select("node", "_least", F.coalesce("label", "node").alias("label")))
+    discard(found, label, nodes)
+    return own, known
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, width: int = 1, radius: int = 4, reach: int | None = None) -> DataFrame:
-    """id_col, fingerprint (array of longs), component_id (the smallest id reachable by links); one row for each row of docs."""
-    own, label = _grouped(docs, id_col, text_col, shingle, width, radius, reach)
-    # The smallest id of each fingerprint, then of each component: no row meets a hot component before it is one of its fingerprints'.
-    least = own.groupBy("node").agg(F.min(id_col).alias("_least"))
-    known = cut(least.join(label, "node"))
-    named = known.join(known.groupBy("label").agg(F.min("_least").alias("component_id")), "label").select("node", "component_id")
-    return own.join(named, "node").select(id_col, "fingerprint", "component_id")
-
-
-def _sets(texts: list[bytes], shingle: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The sorted set of shingle hashes of each text, all the hashes, and how many each text has."""
-    hashes, count = minhash.shingle_hashes(texts, shingle)
-    return [np.unique(x) for x in np.split(hashes, np.cumsum(count)[:-1])], hashes, count
-
-
-def _texts(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+    """id_col, fingerprint (array of longs), component_id (the smallest id reachable by links); one row for each row of docs.
 
-
-def _node(shingles: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(shingles.tobytes(), 42) - 2**63
-
-
-def banded(docs: DataFrame, *, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """id_col, node (a hash of the shingle set), n (the set's size), keys (one for each MinHash band)."""
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high in runs(batch.column(1), 1 << 20):
-                sets, hashes, count = _sets(_texts(batch.column(1).slice(low, high - low)), shingle)
-                parts = minhash.minima(hashes, count, BANDS * ROWS).reshape(-1, BANDS, ROWS).astype(np.uint64)
-                keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2])
-                for r in range(ROWS):
-                    keys = _mix(keys * np.uint64(31) + parts[:, :, r] + np.uint64(r + 1))
-                held = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), held], [id_col, "node", "n", "keys"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, node bigint, n bigint, keys array<bigint>")
-
-
-def _alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each member (of sets of ascending size) beside the first of its tree, by the links between members marked left and members marked right.
-
-    All pairs in different trees are compared, on their whole sets, unless their sizes alone tell.
+    The smallest id is that of each fingerprint first, then of each component.  What is joined
+    with a hot component or fingerprint is a written table, so that Spark can split it.
     """
-    size = np.array([len(x) for x in sets])
-    offset = np.append(0, np.cumsum(size))
-    vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    own, label = np.zeros(len(vocabulary), bool), np.arange(len(sets))
-    for i in np.flatnonzero(left & (size > 0)).tolist():
-        fits = right & (label != label[i]) & (np.minimum(size, size[i]) / np.maximum(size, size[i]) >= similarity)
-        others = np.flatnonzero(fits)
-        if not len(others):
-            continue
-        low, high = int(others[0]), int(others[-1]) + 1
-        own[ids[offset[i] : offset[i + 1]]] = True
-        common = np.add.reduceat(own[ids[offset[low] : offset[high]]].astype(np.int64), offset[low:high] - offset[low])[others - low]
-        own[ids[offset[i] : offset[i + 1]]] = False
-        near = others[common / (size[others] + size[i] - common) >= similarity]
-        if len(near):
-            trees = np.unique(np.append(label[near], label[i]))
-            label[np.isin(label, trees)] = trees[0]
-    member = np.flatnonzero(label != np.arange(len(sets)))
-    return member, label[member]
-
-
-def verified(members: DataFrame, texts: DataFrame, *, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """members: node, n, label.  texts: node, text_col, one row for each node.  Edges a, b that span the components of links within each label.
-
-    Two nodes link if their shingle sets have a Jaccard similarity of `similarity` or more.  A
-    label's nodes are dealt into blocks of about SHINGLES, which are compared with one another.
-    """
-    spark = members.sparkSession
-    blocks = members.groupBy("label").agg(F.ceil(F.sum("n") / SHINGLES).cast("int").alias("blocks"))
-    own = members.join(blocks, "label").withColumn("i", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))).cast("int"))
-    sides = own.select("label", "node", "i", F.explode(F.sequence(F.lit(0), F.greatest("blocks", F.lit(1)) - 1)).alias("j"))
-    sides = sides.select("label", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), (F.col("i") <= F.col("j")).alias("left"), (F.col("i") >= F.col("j")).alias("right"), "node")
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high in runs(batch.column(1), 1 << 20):
-                sets = _sets(_texts(batch.column(1).slice(low, high - low)), shingle)[0]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
-
-    sets = texts.select("node", text_col).mapInArrow(coded, "node bigint, shingles binary")
-    sides = sides.join(sets, "node").repartition(partitions(spark), "label", "low", "high").sortWithinPartitions("label", "low", "high", F.octet_length("shingles"), "node")
-
-    def compare(group: pa.Table) -> pa.RecordBatch:
-        node = group.column("node").to_numpy()
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("shingles")]
-        i, j = _alike(sets, group.column("left").to_numpy(), group.column("right").to_numpy(), similarity)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j]), pa.int64()), pa.array(np.maximum(node[i], node[j]), pa.int64())], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        for batch in batches:
-            for low, high in runs(batch.column(6), 1 << 20):
-                some = batch.slice(low, high - low)
-                keys = np.stack([some.column(c).to_numpy() for c in range(3)], 1).astype(np.int64)
-                begin = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1))).tolist()
-                for at, end in zip(begin, [*begin[1:], len(keys)], strict=True):
-                    if held and keys[at].tolist() != last:
-                        yield compare(pa.Table.from_batches(held))
-                        held = []
-                    held.append(some.slice(at, end - at))
-                    last = keys[at].tolist()
-        if held:
-            yield compare(pa.Table.from_batches(held))
-
-    return sides.select("label", "low", "high", "left", "right", "node", "shingles").mapInArrow(run, "a bigint, b bigint").distinct()
+    own, known = _grouped(docs, id_col, text_col, shingle, width, radius, reach)
+    top = written(known.groupBy("label").agg(F.min("_least").alias("_top"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    named = written(known.join(top, "label", "left").select("node", F.coalesce("_top", "_least").alias("component_id")))
+    discard(known, top)
+    return own.join(named, "node").select(id_col, "fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest id (null ids last, then by text hash); columns as they were.
 
-    Texts link if the sets of their shingles have a Jaccard similarity of `similarity` or
-    more; groups are the components of the links.  Texts that meet in a MinHash band, and
-    those that they meet, are candidates of one another; each pair of those is verified on the
-    whole sets.  Equal sets are one node from the start.
+    Groups are minhash.grouping()'s: components of links between texts whose shingle sets are
+    alike to `similarity`, which fingerprints of 64 bits only estimate (see the README's figures).
+    Rows alike in id and text (null texts are empty) are one document: the first of them by their
+    other columns stays.
     """
-    keyed = docs.select(F.struct(F.col(id_col).alias("id"), text_key(text_col).alias("key")).alias("_row"), F.col(text_col))
-    own = cut(banded(keyed, id_col="_row", text_col=text_col, shingle=shingle).select(F.col("_row.id").alias(id_col), F.col("_row.key").alias("text_key"), "node", "n", "keys"))
-    rank = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("text_key").alias("key"))
-    nodes = cut(own.groupBy("node").agg(F.min(rank).alias("m"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    emitted = nodes.select("node", F.explode("keys").alias("key"))
-    least = emitted.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = components(emitted.join(least, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct())
-    members = cut(met.union(met.select(F.col("label").alias("node"), "label").distinct()).join(nodes.select("node", "m", "n"), "node"))
-    first = members.select("node", F.col("m.id").alias("_id"), F.col("m.key").alias("_key"))
-    here = docs.select(F.col(id_col), F.col(text_col), text_key(text_col).alias("_of"))
-    texts = here.join(first, here[id_col].eqNullSafe(first["_id"]) & (here["_of"] == first["_key"])).select("node", text_col).dropDuplicates(["node"])
-    label = components(verified(members.select("node", "n", "label"), texts, text_col=text_col, shingle=shingle, similarity=similarity))
-    top = nodes.join(label, "node", "left").select(F.coalesce("label", "node").alias("label"), "m").groupBy("label").agg(F.min("m").alias("m"))
-    kept = cut(top.select(F.col("m.id").alias("_id"), F.col("m.key").alias("_key")))
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]) & (text_key(text_col) == kept["_key"]), "left_semi")
-    alike = own.groupBy(id_col, "text_key").count().where("count > 1")
-    if alike.isEmpty():
+    rows, label = minhash.grouping(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
+    top = written(label.groupBy("label").agg(F.min("m").alias("m")).select(F.col("m.id").alias("_id"), F.col("m.key").alias("_key")))
+    twice = written(rows.groupBy("id", "text_key").count().where("count > 1").select(F.col("id").alias("_id"), F.col("text_key").alias("_key")))
+    discard(rows, label)
+    same = lambda df, other: df[id_col].eqNullSafe(other["_id"]) & (text_key(text_col) == other["_key"])
+    out = docs.join(top, same(docs, top), "left_semi")
+    if twice.isEmpty():
+        discard(twice)
         return out
-    # Rows alike in id and text: one of them stays, the least of their other columns.
-    rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    return out.groupBy(id_col, text_col).agg(F.min(F.struct(*rest)).alias("_r")).select(*[F.col(c) if c in (id_col, text_col) else F.col(f"_r.{c}").alias(c) for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = out.join(twice, same(out, twice), "left_semi").groupBy(F.col(id_col).alias("_id"), text_key(text_col).alias("_key")).agg(F.min_by(whole, F.struct(F.col(text_col).isNull().alias("no"), F.to_json(whole).alias("all"))).alias("_row"))
+    return out.join(twice, same(out, twice), "left_anti").unionByName(repeated.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
