@@ -67,6 +67,22 @@ def test_rows_alike_null_ids_and_empty(spark):
     assert suffixes.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_texts_of_one_id(spark, monkeypatch):
+    """Different texts of one id, many null ids, rows alike: each against brute force, in the order of id and text hash."""
+    import xxhash
+
+    monkeypatch.setattr(suffixes, "MANY", 4)
+    texts = corpus(5)
+    rng = random.Random(5)
+    rows = [(rng.choice([None, None, 3, 3, i]), t) for i, t in enumerate(texts)] + [(None, texts[20]), (1, texts[30]), (1, texts[30])]
+    signed = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + 2**63) % 2**64
+    order = sorted({(-1 if i is None else i, signed(t), t or "") for i, t in rows})
+    want = {(i, t): x for (i, _, t), x in zip(order, brute([(k, t) for k, (_, _, t) in enumerate(order)]), strict=True)}
+    found = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), bytes(r.kept)) for r in found)
+    assert got == sorted((-1 if i is None else i, *want[-1 if i is None else i, t or ""]) for i, t in rows)
+
+
 def test_long_texts_are_scanned_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 150)
     rng = random.Random(1)

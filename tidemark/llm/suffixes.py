@@ -17,16 +17,21 @@ one.  Then
    their successors are sorted directly, the others are induced by scans over the
    buckets, and adjacent common prefixes of SPAN bytes make groups, in each of
    which all but the earliest are removed;
-4. an anchor with more than MANY classes is dealt out by its windows instead:
-   each becomes a row, equal ones are aggregated.
+4. an anchor with more than MANY classes would be too much for one task: its segments
+   go through the same steps again with longer grams (GRAMS), which tell them apart by
+   more of what is around; a gram as long as the window leaves one class an anchor.
 
-Anchors, classes and windows that hold a large share of all rows are dealt out over
-several tasks wherever rows meet by them.
+Anchors and classes that hold a large share of all rows are dealt out over several
+tasks wherever rows meet by them.
+
+Equality of segments (step 2) is that of two hashes of 64 bits each, of the anchor and
+of all grams with their places; the windows of step 3 are compared by their bytes.
 
 Null texts are empty; texts of fewer than SPAN bytes are kept.  Ids are integers;
-null ids come first.  Rows that share an id are ordered by a hash of the text;
-rows alike in both are one document and have its result each.  Texts longer than
-PIECE bytes are scanned in pieces that overlap by a window.
+null ids come first.  Different texts that share an id are told apart, and ordered, by
+64 bits of a hash of the text; rows alike in id and text are one document and have its
+result each.  An empty table gives an empty one; further columns may have any name.
+Texts longer than PIECE bytes are scanned in pieces that overlap by a window.
 """
 
 from __future__ import annotations
@@ -39,16 +44,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_dealt, partitions, release, text_of, written
+from .common import discard, join_dealt, partitions, release, text_key, text_of, written
 from .minhash import _mix, runs
 
 SPAN = 100
 GRAM = 24
+#: The grams that anchor windows: of texts, and of the segments of crowded anchors, and of theirs.
+GRAMS = (GRAM, 64, SPAN)
 #: Classes of an anchor that one task takes: their segments have about 150 bytes each, the direct sort a hundred times half of that.
 MANY = 4096
 PIECE = 4 << 20
 BLOCK = 1 << 18
-START_BITS = 40
 LEAST = -(2**63)
 _RANDOM = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _R = 0x9FB21C651E98DF25
@@ -191,33 +197,35 @@ def repeated_windows(texts: list[bytes], order: np.ndarray, span: int = SPAN) ->
     return text[again], offset[again]
 
 
-def _anchored(docs: DataFrame) -> DataFrame:
-    """docs: _id, _v, _text.  anchor, content, id, at (v and first window), n."""
+def _anchored(rows: DataFrame, gram: int) -> DataFrame:
+    """rows: id, v, at, text.  anchor, content, id, v, at (of the first window, from that of the row on), n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in runs(batch.column(2), 2 << 20):
-                ids, marks = batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low).to_numpy()
-                texts = [x or b"" for x in batch.column(2).slice(low, high - low).cast(pa.binary()).to_pylist()]
+            for low, high in runs(batch.column(3), 2 << 20):
+                part = batch.slice(low, high - low)
+                texts = [x or b"" for x in part.column(3).cast(pa.binary()).to_pylist()]
+                begin = part.column(2).to_numpy()
                 found = []
                 for k, text in enumerate(texts):
                     if len(text) >= SPAN:
-                        for base, part in pieces(np.frombuffer(text, np.uint8)):
-                            anchor, content, first, n = segments(part)
-                            found.append((anchor, content, np.full(len(n), k), marks[k] << START_BITS | (first + base), n))
+                        for base, piece in pieces(np.frombuffer(text, np.uint8)):
+                            anchor, content, first, n = segments(piece, SPAN, gram)
+                            found.append((anchor, content, np.full(len(n), k), begin[k] + base + first, n))
                 if found:
                     anchor, content, k, at, n = (np.concatenate(x) for x in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), ids.take(pa.array(k)), pa.array(at), pa.array(n.astype(np.int32))], ["anchor", "content", "id", "at", "n"])
+                    of = pa.array(k)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), part.column(0).take(of), part.column(1).take(of), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "content", "id", "v", "at", "n"])
 
-    return docs.select("_id", "_v", "_text").mapInArrow(run, "anchor long, content long, id long, at long, n int")
+    return rows.select("id", "v", "at", "text").mapInArrow(run, "anchor long, content long, id long, v long, at int, n int")
 
 
 def _by_suffixes(sides: DataFrame) -> DataFrame:
-    """sides: anchor, id, at, seg.  id, at (of the window): windows that an earlier segment of the same anchor has."""
+    """sides: anchor, id, v, at, seg.  id, v, at (of the window): windows that an earlier segment of the same anchor has."""
 
     def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         anchors = rows.column("anchor").to_numpy()
-        ids, at = rows.column("id").to_numpy(), rows.column("at").to_numpy()
+        ids, marks, at = (rows.column(c).to_numpy() for c in ("id", "v", "at"))
         segs = rows.column("seg").to_pylist()
         begin = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1])).tolist()
         low, held = 0, 0
@@ -225,10 +233,13 @@ def _by_suffixes(sides: DataFrame) -> DataFrame:
             held += sum(map(len, segs[i:j]))
             if held >= BLOCK or j == len(segs):
                 own = slice(low, j)
+                # Ranks by id, mark and place; equal ones (rows alike) are one occurrence.
+                place = np.stack([ids[own], marks[own], at[own].astype(np.int64)])
+                by = np.lexsort(place[::-1])
                 order = np.empty(j - low, np.int64)
-                order[np.lexsort((at[own], ids[own]))] = np.arange(j - low)
+                order[by] = np.cumsum(np.append(0, (place[:, by[1:]] != place[:, by[:-1]]).any(0)))
                 text, offset = repeated_windows(segs[low:j], order)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own][text]), pa.array(at[own][text] + offset)], ["id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own][text]), pa.array(marks[own][text]), pa.array((at[own][text] + offset).astype(np.int32))], ["id", "v", "at"])
                 low, held = j, 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,54 +257,66 @@ def _by_suffixes(sides: DataFrame) -> DataFrame:
             yield from flush(pa.Table.from_batches(held))
 
     n = partitions(sides.sparkSession)
-    own = sides.select("anchor", "id", "at", "seg").repartition(n, "anchor").sortWithinPartitions("anchor")
-    return own.mapInArrow(run, "id long, at long")
+    own = sides.select("anchor", "id", "v", "at", "seg").repartition(n, "anchor").sortWithinPartitions("anchor")
+    return own.mapInArrow(run, "id long, v long, at int")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """docs: _id (long, no null), _v, _text.  id, at (v and first window), n: runs of windows that also start earlier."""
+    """docs: id (long, no null), v (long: tells texts of one id apart), text.  id, v, at (of the first window), n: runs of windows that also start earlier."""
+    found, texts, rows = None, docs, docs.select("id", "v", F.lit(0).alias("at"), "text")
+    for level, gram in enumerate(GRAMS):
+        copied, single, crowded = _level(texts, rows, gram)
+        both = copied.unionByName(single.withColumn("n", F.lit(1)))
+        found = both if found is None else found.unionByName(both)
+        if level + 1 == len(GRAMS) or crowded.isEmpty():
+            return found
+        # A class stands for its copies, which are removed whole: what is left are its first segments.
+        rows = crowded.select("id", "v", "at", F.col("seg").alias("text"))
+    return found
+
+
+def _level(docs: DataFrame, rows: DataFrame, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (id, v, at, text: stretches of docs' texts): runs that are copies, single windows that are, and the segments (with `seg`) of crowded anchors."""
     spark = docs.sparkSession
-    rows = _anchored(docs)
-    often = written(rows.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1"))
+    keys = ["id", "v", "at"]
+    own = _anchored(rows, gram)
+    often = written(own.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1"))
     release(spark)
     total = often.agg(F.sum("rows")).head()[0] or 0
-    held = written(join_dealt(rows, often, ["anchor"], count="rows", total=total, by=["id", "at"]).drop("rows"))
-    del rows, often
+    held = written(join_dealt(own, often, ["anchor"], count="rows", total=total, by=keys).drop("rows"))
+    discard(often)
     release(spark)
-    place = F.struct("id", "at")
+    place = F.struct(*keys)
     classes = written(held.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n")))
     release(spark)
     again = classes.where("copies > 1").select("anchor", "content", "first", "copies")
-    copied = join_dealt(held, again, ["anchor", "content"], count="copies", total=total, by=["id", "at"]).where(place != F.col("first")).select("id", "at", "n")
+    copied = join_dealt(held, again, ["anchor", "content"], count="copies", total=total, by=keys).where(place != F.col("first")).select(*keys, "n")
     sharing = written(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"))
-    parted = classes.select("anchor", F.col("first.id").alias("id"), F.col("first.at").alias("at"), "n")
-    shared = join_dealt(parted, sharing, ["anchor"], count="classes", total=classes.count(), by=["id", "at"])
-    low = (1 << START_BITS) - 1
-    met = docs.join(shared, (docs["_id"] == shared["id"]) & (docs["_v"] == F.shiftright("at", START_BITS)))
-    segs = met.select("anchor", "classes", "id", "at", "n", F.substring(F.col("_text").cast("binary"), F.col("at").bitwiseAND(low).cast("int") + 1, F.col("n") + (SPAN - 1)).alias("seg"))
-    segs = written(segs)
-    del met, shared, parted, sharing
+    parted = classes.select("anchor", F.col("first.id").alias("id"), F.col("first.v").alias("v"), F.col("first.at").alias("at"), "n")
+    shared = join_dealt(parted, sharing, ["anchor"], count="classes", total=classes.count(), by=keys)
+    met = docs.join(shared, ["id", "v"])
+    segs = written(met.select("anchor", "classes", *keys, "n", F.substring(F.col("text").cast("binary"), F.col("at") + 1, F.col("n") + (SPAN - 1)).alias("seg")))
+    discard(sharing)
     release(spark)
-    single = _by_suffixes(segs.where(F.col("classes") <= MANY))
-    crowded = segs.where(F.col("classes") > MANY)
-    total = crowded.agg(F.sum("n")).head()[0]
-    if total:
-        windows = crowded.select("id", "at", "seg", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-        windows = windows.select("id", (F.col("at") + F.col("i")).alias("at"), F.md5(F.substring("seg", F.col("i") + 1, F.lit(SPAN))).alias("digest"))
-        first = written(windows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1"))
-        many = join_dealt(windows, first, ["digest"], count="c", total=total, by=["id", "at"]).where(place != F.col("first")).select("id", "at")
-        single = single.unionByName(many)
-    return copied.unionByName(single.withColumn("n", F.lit(1)))
+    return copied, _by_suffixes(segs.where(F.col("classes") <= MANY)), segs.where(F.col("classes") > MANY)
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id (nulls: LEAST), v, text.  v: a hash of the text where texts of one id differ, else 0, so that it costs nothing."""
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("id"), text_key(text_col).alias("v"), text_of(text_col).alias("text"))
+    shared = written(own.groupBy("id").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low <> high").select("id", F.lit(True).alias("differ")))
+    if shared.isEmpty():
+        discard(shared)
+        return own.withColumn("v", F.lit(0).cast("long"))
+    return own.join(shared, "id", "left").select("id", F.when(F.col("differ"), F.col("v")).otherwise(F.lit(0).cast("long")).alias("v"), "text")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, kept (binary), spans (array of start, end in bytes: the maximal removed runs); one row for each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
-    mark = F.xxhash64(text_of(text_col)).bitwiseAND((1 << 20) - 1)
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST)).alias("_id"), mark.alias("_v"), text_of(text_col).alias("_text"))
-    low = (1 << START_BITS) - 1
-    found = repeats(own).groupBy(F.col("id"), F.shiftright("at", START_BITS).alias("v")).agg(F.collect_list(F.struct(F.col("at").bitwiseAND(low).alias("s"), "n")).alias("runs"))
-    joined = own.join(found, (own["_id"] == found["id"]) & (own["_v"] == found["v"]), "left")
+    own = _marked(docs, id_col, text_col)
+    found = repeats(own).groupBy("id", "v").agg(F.collect_list(F.struct(F.col("at").alias("s"), "n")).alias("runs"))
+    joined = own.join(found, ["id", "v"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,10 +339,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                         at = int(b)
                     left.append(text[at:])
                     kept.append(b"".join(left))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["_id", "n_bytes", "kept", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["id", "n_bytes", "kept", "spans"])
 
-    out = joined.select("_id", "_text", "runs").mapInArrow(run, "_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>")
-    return out.select(F.when(F.col("_id") != LEAST, F.col("_id")).cast(kind).alias(id_col), "n_bytes", "kept", "spans")
+    out = joined.select("id", "text", "runs").mapInArrow(run, "id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>")
+    return out.select(F.when(F.col("id") != LEAST, F.col("id")).cast(kind).alias(id_col), "n_bytes", "kept", "spans")
 
 
 def cover(starts: np.ndarray, counts: np.ndarray, span: int = SPAN) -> np.ndarray:
