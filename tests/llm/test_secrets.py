@@ -48,6 +48,33 @@ def test_ownership(spark):
     assert got[None].spans == "assign:0:12" and got[None].n_live == 1
 
 
+def test_copies_of_one_owner_are_examples(spark):
+    """A value in more than four repositories is no owner's own, also if they are of one owner."""
+    rows = [(i, f"x {JWT}", f"lang{i}", "src") for i in range(5)] + [(5 + i, f"x {JWT[:-1]}Z", f"lang{i % 4}", "src") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.spans for r in secrets.report(docs).collect()}
+    assert all(got[i] == "" for i in range(5)) and all(got[i] == f"jwt:2:{2 + len(JWT)}" for i in range(5, 55))
+
+
+def test_very_many_matches(spark, monkeypatch):
+    text = "é token=abcdef secret:xyz " * 700 + "0123456789abcdef01234567 " * 300
+    docs = spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string")
+    for block in (7, 256):
+        monkeypatch.setattr(secrets, "BLOCK", block)
+        assert secrets.report(docs).first().base == brute(text)
+    clean = secrets.redact(docs).first().text
+    assert clean == "é [SECRET] secret:xyz " * 700 + "[SECRET] " * 300
+
+
+def test_redaction_with_clashing_names(spark):
+    rows = [(i, t, "en", "s", f"a{i}", f"b{i}", 1, f"c{i}") for i, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _spans string, _clean string, _id int, `a.b` string")
+    got = secrets.redact(docs.unionByName(docs))
+    assert got.columns == docs.columns and got.count() == 2 * len(rows)
+    assert {(r.doc_id, r["_spans"], r["_clean"], r["a.b"]) for r in got.collect()} == {(i, f"a{i}", f"b{i}", f"c{i}") for i in range(len(TEXTS))}
+    assert secrets.redact(docs.limit(0)).count() == 0
+
+
 def test_redaction(spark):
     rows = [(i, t, "en", f"src{i}", 7) for i, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

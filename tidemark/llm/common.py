@@ -102,6 +102,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value evaluated once however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null one being empty."""
     return F.coalesce(F.col(column), F.lit(""))

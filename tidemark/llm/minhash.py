@@ -39,6 +39,8 @@ BANDS = 25
 SIMILARITY = 0.8
 #: Shingles in one side of a comparison of blocks, about.
 BLOCK = 1 << 17
+#: Bytes of text that are hashed at once; the arrays for them take about a hundred times as many.
+SLICE = 1 << 18
 BLANKS = np.zeros(256, bool)
 BLANKS[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -121,7 +123,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in runs(batch.column(1)):
+            for low, high in runs(batch.column(1), SLICE):
                 sig = signatures(_bytes(batch.column(1).slice(low, high - low)), shingle, permutations)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([x.tobytes() for x in sig], pa.binary())], [id_col, "signature"])
 
@@ -132,7 +134,7 @@ def _bytes(texts: pa.Array) -> list[bytes]:
     return [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
 
 
-def runs(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def runs(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int]]:
     """Slices of about `most` bytes of text."""
     low, held = 0, 0
     for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
@@ -244,7 +246,7 @@ def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                 if not kind:
                     noted[mark] = note
                     continue
-                if held and (size >= 2 << 20 or b != bucket):
+                if held and (size >= SLICE or b != bucket):
                     yield flush(held, text)
                     held, size = [], 0
                 held.append((key, text, noted.get(mark)))
@@ -266,7 +268,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in runs(batch.column(2), 1 << 20):
+            for low, high in runs(batch.column(2), SLICE):
                 part = batch.slice(low, high - low)
                 sets, hashes, count = _sets(_bytes(part.column(2)), shingle)
                 parts = minima(hashes, count, bands * rows).reshape(-1, bands, rows).astype(np.uint64)
@@ -477,7 +479,7 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in runs(batch.column(1), 1 << 20):
+            for low, high in runs(batch.column(1), SLICE):
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in _sets(_bytes(part.column(1)), shingle)[0]], pa.binary())], ["node", "shingles"])
 
