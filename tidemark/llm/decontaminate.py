@@ -3,18 +3,21 @@
 Words are runs of ASCII letters (A-Z lowered), digits and non-ASCII characters.
 A window is SPAN consecutive words of an item; an item of fewer words, but not
 none, is one window.  Every k-gram of words has a hash; of each `reach`
-consecutive hashes a text keeps the least (winnowing), so texts that share
-SPAN = k + reach - 1 words share a kept hash.  Kept hashes of the documents meet
-those of the items; around each meeting the span is extended to all windows that
-hold it, and these are compared with the items' windows as strings.
+consecutive hashes a text, document or item, keeps the least (winnowing), so texts
+that share SPAN = k + reach - 1 words share a kept hash at the same place of that
+window.  Kept hashes of the documents are joined with those of the items, and each
+meeting is extended to the window that kept it, whose words are compared.
 
-Before any row is made, a document's kept hashes are tried against a bitmap of
-the items' hashes (a scalar of fixed size, FILTER_WORDS longs): it lets all
-matches pass and, unless there are very many items, little else.  The join that
-follows is what decides.
+Before any row is made, a document's kept hashes are tried against a bitmap of the
+items' kept hashes (a scalar of FILTER_BITS bits for each of them, FILTER_MOST longs
+at most): it lets all matches pass and little else.  The join that follows is what
+decides.
 
 Null texts have no words; neither have empty ones.  Rows of equal id and text
-have equal results.  Items without an id are one item, without words none.
+have equal results, one for each row.  Items without an id are one item, without
+words none; without items nothing is hit.  An empty table gives an empty one.  Texts
+of any length count whole.  Only the id and text columns are read; decontaminate()
+gives all columns back, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,13 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, text_of
+from .common import discard, let, text_key, text_of, written
 
 SPAN = 10
 GRAM = 5
-FILTER_WORDS = 1 << 14
-#: Windows of items that may be broadcast (about 100 bytes each).
-BROADCAST_WINDOWS = 200_000
+#: Bits of the filter for each kept hash of the items, and the most longs that it has (8 MB).
+FILTER_BITS, FILTER_MOST = 32, 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,15 +48,6 @@ def _grams(hashes: Column, n: Column, k: int) -> Column:
     return F.transform(_range(n - (k - 1)), lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))
 
 
-def _least(grams: Column, n: Column, reach: int) -> Column:
-    """Where each `reach` consecutive grams have their least, the first of equal ones: distinct places."""
-    def place(i):
-        window = F.slice(grams, i + 1, reach)
-        return i + F.array_position(window, F.array_min(window)).cast("int") - 1
-
-    return F.array_distinct(F.transform(_range(n - (reach - 1)), place))
-
-
 def _with_words(df: DataFrame, text_col: str) -> DataFrame:
     """Adds w (words), n (their number), h (their hashes)."""
     own = df.withColumn("w", words(text_of(text_col)))
@@ -70,70 +63,83 @@ def item_windows(items: DataFrame, *, id_col: str = "item_id", text_col: str = "
     return made.distinct()
 
 
-def _bitmap(spark, hashes: DataFrame) -> DataFrame:
-    """One row: bits, an array of FILTER_WORDS longs, a bit set for each value of h."""
-    word = F.shiftrightunsigned("h", 6).bitwiseAND(FILTER_WORDS - 1).alias("i")
+def _bitmap(hashes: DataFrame, n: int) -> tuple[Column, int]:
+    """A scalar: an array of longs with a bit set for each of the n values of h; and how many longs."""
+    longs = min(FILTER_MOST, 1 << max(4, (n * FILTER_BITS // 64).bit_length()))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(longs - 1).alias("i")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
-    held = hashes.select(word, bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
-    every = spark.range(0, FILTER_WORDS, 1, 1).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("b"))
+    held = hashes.select(word, bit.alias("b"))
+    every = hashes.sparkSession.range(0, longs, 1, 1).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("b"))
     filled = held.unionByName(every).groupBy("i").agg(F.bit_or("b").alias("b"))
-    return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]).alias("bits"))
+    row = filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]).alias("bits"))
+    return row.select("bits").scalar(), longs
 
 
-def _maybe(bits: Column, h: Column) -> Column:
-    word = F.get(bits, F.shiftrightunsigned(h, 6).bitwiseAND(FILTER_WORDS - 1).cast("int"))
+def _maybe(bits: Column, longs: int, h: Column) -> Column:
+    word = F.get(bits, F.shiftrightunsigned(h, 6).bitwiseAND(longs - 1).cast("int"))
     return F.call_function("shiftrightunsigned", word, h.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
 
-def _window(start: Column, length: int) -> Column:
-    return F.struct(start.cast("int").alias("s"), F.lit(length).alias("length"), F.array_join(F.slice("w", start + 1, length), " ").alias("words"))
+def _window(start: Column, length: int, h: Column) -> Column:
+    return F.struct(start.cast("int").alias("s"), F.lit(length).alias("length"), h.alias("h"), F.array_join(F.slice("w", start + 1, length), " ").alias("words"))
+
+
+def _tried(bits: Column, longs: int):
+    """A gram and its place, if the filter lets it pass."""
+    return lambda g, s: F.when(_maybe(bits, longs, g), F.struct(s.alias("s"), g.alias("h")))
+
+
+def _elected(bits: Column, longs: int, reach: int):
+    """The least gram of the window that begins at a place, and that place, if the filter lets it pass."""
+    return lambda s: let(F.array_min(F.slice("g", s + 1, reach)), lambda h: F.when(_maybe(bits, longs, h), F.struct(s.alias("s"), h.alias("h"))))
+
+
+def _windowed(k: int):
+    return lambda x: _window(x["s"], k, x["h"])
 
 
-def _short(k: int) -> Column:
-    """The windows of k words that may be an item's."""
-    grams, bits = _grams(F.col("h"), F.col("n"), k), F.col(f"bits{k}")
-    return F.transform(F.filter(F.transform(grams, lambda g, i: F.when(_maybe(bits, g), i)), lambda i: i.isNotNull()), lambda s: _window(s, k))
+def kept(windows: DataFrame, *, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """windows (of item_windows()) with h, the hash that winnowing keeps of each: the least of its grams, of a short one that of all its words."""
+    hashes = F.transform(F.split("words", " "), lambda x: F.xxhash64(x))
+    out = windows.withColumn("h", hashes)
+    # The lengths are few (at most `span`); each has its own fixed expression.
+    each = F.array_min(_grams(F.col("h"), F.lit(span), gram))
+    for k in range(1, span):
+        each = F.when(F.col("length") == k, F.get(_grams(F.col("h"), F.lit(k), k), 0)).otherwise(each)
+    return out.withColumn("h", each)
 
 
 def hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """One row for each distinct id and text of docs: id_col, text_key, copies, n_words, n_hit, items (sorted strings), hit (array of start, end in words, merged).
 
     copies: how many rows of docs are alike in both.  No text is shuffled; what goes
-    on from a document are its windows that may be an item's.
+    on from a document are its windows whose kept hash may be an item's.
     """
-    spark = docs.sparkSession
     reach = span - gram + 1
-    windows = item_windows(items, id_col=item_col, text_col=item_text_col, span=span)
-    shape = windows.groupBy("length").agg(F.countDistinct("words").alias("n")).collect()  # at most `span` rows
-    short = sorted(r["length"] for r in shape if r["length"] < span)
-    split = windows.select("words", "length", F.transform(F.split("words", " "), lambda x: F.xxhash64(x)).alias("h"))
-    if any(r["length"] == span for r in shape):
-        of_span = split.where(F.col("length") == span)
-        long_bits = _bitmap(spark, of_span.select(F.explode(_grams(F.col("h"), F.lit(span), gram)).alias("h"))).select("bits").scalar()
-    own = docs.select(F.col(id_col).alias(id_col), text_key(text_col).alias("text_key"), text_of(text_col).alias("_text"))
+    windows = written(kept(item_windows(items, id_col=item_col, text_col=item_text_col, span=span), span=span, gram=gram))
+    shape = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.countDistinct("h").alias("n")).collect()}  # at most `span` rows
+    own = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), text_of(text_col).alias("_text"))
     own = _with_words(own, "_text")
     found = []
-    if any(r["length"] == span for r in shape):
-        own = own.withColumn("bits", long_bits).withColumn("g", _grams(F.col("h"), F.col("n"), gram))
-        places = _least(F.col("g"), F.size("g"), reach)
-        met = F.filter(places, lambda p: _maybe(F.col("bits"), F.get(F.col("g"), p)))
-        # A kept gram at p is in the windows that start at p - (span - gram) .. p.
-        own = own.withColumn("met", met)
-        starts = F.array_distinct(F.flatten(F.transform("met", lambda p: F.when(F.col("n") >= span, F.sequence(F.greatest(p - (span - gram), F.lit(0)), F.least(p, F.col("n") - span))).otherwise(F.array().cast("array<int>")))))
-        found.append(F.transform(starts, lambda s: _window(s, span)))
-    for k in short:  # items of fewer words: every gram of that length is tried
-        bits = _bitmap(spark, split.where(F.col("length") == k).select(F.explode(_grams(F.col("h"), F.lit(k), k)).alias("h"))).select("bits").scalar()
+    for k, n in sorted(shape.items()):
+        bits, longs = _bitmap(windows.where(F.col("length") == k).select("h").distinct(), n)
         own = own.withColumn(f"bits{k}", bits)
-        found.append(_short(k))
-    candidates = F.concat(*found) if found else F.array().cast("array<struct<s:int,length:int,words:string>>")
-    rows = own.select(id_col, "text_key", F.col("n").cast("long").alias("n_words"), candidates.alias("c"))
-    rows = rows.select(id_col, "text_key", "n_words", F.posexplode_outer("c").alias("_at", "c")).select(id_col, "text_key", "n_words", F.coalesce("_at", F.lit(0)).alias("_at"), F.col("c.s").alias("s"), F.col("c.length").alias("length"), F.col("c.words").alias("words"))
-    owners = windows.groupBy("length", "words").agg(F.sort_array(F.collect_set("item_id")).alias("owners"))
-    if sum(r["n"] for r in shape) <= BROADCAST_WINDOWS:
-        owners = F.broadcast(owners)
-    joined = rows.join(owners, ["length", "words"], "left")
-    hit = F.when(F.col("owners").isNotNull(), F.struct("s", (F.col("s") + F.col("length")).alias("e")))
-    per = joined.groupBy(id_col, "text_key").agg(F.max("n_words").alias("n_words"), F.sum((F.col("_at") == 0).cast("int")).cast("int").alias("copies"), F.sort_array(F.collect_set(hit)).alias("_hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("owners")))).alias("items"))
+        if k < span:  # items of fewer words: every gram of that length is tried
+            met = F.transform(_grams(F.col("h"), F.col("n"), k), _tried(F.col(f"bits{k}"), longs))
+        else:
+            own = own.withColumn("g", _grams(F.col("h"), F.col("n"), gram))
+            met = F.transform(_range(F.size("g") - (reach - 1)), _elected(F.col(f"bits{k}"), longs, reach))
+        own = own.withColumn(f"met{k}", F.filter(met, lambda x: x.isNotNull()))
+        found.append(F.transform(f"met{k}", _windowed(k)))
+    candidates = F.concat(*found) if found else F.array().cast("array<struct<s:int,length:int,h:bigint,words:string>>")
+    rows = written(own.select("id", "text_key", F.col("n").cast("long").alias("n_words"), candidates.alias("c")))
+    owners = written(windows.groupBy("length", "h", "words").agg(F.sort_array(F.collect_set("item_id")).alias("owners")))
+    discard(windows)
+    each = rows.select("id", "text_key", F.explode("c").alias("c")).select("id", "text_key", "c.*")
+    # Kept hashes meet; the words of the window that kept one decide.
+    joined = each.join(owners, ["h", "length", "words"]).select("id", "text_key", F.lit(0).cast("long").alias("n_words"), F.lit(0).alias("row"), F.struct("s", (F.col("s") + F.col("length")).alias("e")).alias("hit"), "owners")
+    base = rows.select("id", "text_key", "n_words", F.lit(1).alias("row"), F.lit(None).cast("struct<s:int,e:int>").alias("hit"), F.lit(None).cast("array<string>").alias("owners"))
+    per = base.unionByName(joined).groupBy("id", "text_key").agg(F.max("n_words").alias("n_words"), F.sum("row").cast("int").alias("copies"), F.sort_array(F.collect_set("hit")).alias("_hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("owners")))).alias("items"))
     merged = F.aggregate(
         "_hits",
         F.array().cast("array<struct<s:int,e:int>>"),
@@ -141,7 +147,7 @@ def hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
     )
     # How many words the hits cover: those past the furthest end so far.
     covered = F.aggregate("_hits", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], a["end"]))).alias("n"), F.greatest(a["end"], x["e"]).alias("end")))["n"]
-    return per.select(id_col, "text_key", "copies", "n_words", covered.cast("long").alias("n_hit"), "items", merged.alias("hit"))
+    return per.select(F.col("id").alias(id_col), "text_key", "copies", "n_words", covered.cast("long").alias("n_hit"), "items", merged.alias("hit"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
@@ -152,5 +158,6 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows that share a window with an item; columns as they were."""
-    bad = hits(docs, items, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"))
+    found = hits(docs, items, id_col=id_col, text_col=text_col, **options)
+    bad = written(found.where("n_hit > 0").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")))
     return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]) & (text_key(text_col) == bad["_key"]), "left_anti")
