@@ -33,18 +33,18 @@ SELECT q.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM q
 """
 
 OP7 = r"""
-WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS said,
+WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS speaker, regexp_replace(coalesce(text, ''), '<(\|im_(?:start|end)\|>)', '<' || chr(8203) || '\1', 'g') AS said,
                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place FROM conversations),
 p AS (SELECT DISTINCT conv_id, speaker AS participant FROM t WHERE speaker <> 'system'),
-s AS (SELECT t.conv_id, place // 1024 AS shard, participant, place, speaker = participant AS trained,
-             '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = participant THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS head, said
+s AS (SELECT t.conv_id, participant, place, speaker = participant AS trained,
+             '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = participant THEN 'assistant'
+               ELSE 'user name=' || regexp_replace(regexp_replace(speaker, '<(\|im_(?:start|end)\|>)', '<' || chr(8203) || '\1', 'g'), '[\r\n]', ' ', 'g') END || chr(10) AS head, said
       FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-u AS (SELECT *, head || said || '<|im_end|>' || chr(10) AS turn_text FROM s),
-v AS (SELECT *, coalesce(sum(length(turn_text)) OVER (PARTITION BY conv_id, shard, participant ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM u)
-SELECT conv_id, CAST(shard AS BIGINT) AS shard, participant, count(*) AS n_turns, count(*) FILTER (WHERE trained) AS n_trained,
-       string_agg(turn_text, '' ORDER BY place) AS rendered,
-       coalesce(string_agg(CAST(base + length(head) AS VARCHAR) || '-' || CAST(base + length(turn_text) - 1 AS VARCHAR), ',' ORDER BY place) FILTER (WHERE trained), '') AS mask
-FROM v GROUP BY conv_id, shard, participant
+u AS (SELECT *, head || said || '<|im_end|>' || chr(10) AS rendered FROM s),
+v AS (SELECT *, CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, participant ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM u)
+SELECT conv_id, participant, place, rendered, start, start + length(rendered) AS "end",
+       CASE WHEN trained THEN start + length(head) END AS mask_start, CASE WHEN trained THEN start + length(rendered) - 1 END AS mask_end
+FROM v
 """
 
 

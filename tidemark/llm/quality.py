@@ -10,11 +10,15 @@ figures' ranges.  The scorer then judges every document.
 
 Null texts are empty.  An empty or blank text has no figures to speak of: all
 labellers abstain and its score is the scorer's for no features but the ranges.
-Without documents the result is empty.
+Rows alike in text have equal scores, one for each row; ties at KEEP stay.  A text
+of any length is judged whole; its figures need a few times its size.  Without
+documents the result is empty.  Of the columns only the id and the text are read;
+score() and keep_good() give all back, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,8 +166,10 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
             at = [np.flatnonzero(v) for v in x]
             yield pa.RecordBatch.from_arrays([pa.array([a.astype("<i4").tobytes() for a in at], pa.binary()), pa.array([v[a].tobytes() for v, a in zip(x, at, strict=True)], pa.binary()), pa.array(y, pa.float64())], ["at", "x", "y"])
 
-    rows = docs.where(place < bound).select(text_of(text_col).alias("_text")).mapInArrow(vectors, "at binary, x binary, y double")
-    held = sorted((bytes(r.at), bytes(r.x), r.y) for r in rows.collect())  # about `sample` rows; sorted, so that their order tells nothing
+    # Rows alike in id and text fall in or out together, so they count once; twice the sample is the most that is taken.
+    chosen = docs.where(place < bound).select(place.alias("_place"), text_of(text_col).alias("_text")).dropDuplicates(["_place"]).orderBy("_place").limit(2 * sample)
+    rows = chosen.select("_text").mapInArrow(vectors, "at binary, x binary, y double")
+    held = sorted((bytes(r.at), bytes(r.x), r.y) for r in rows.collect())  # sorted, so that their order tells nothing
     x = np.zeros((len(held), GRAMS + len(LABELLERS) * RANGES), np.float32)
     for i, (at, values, _) in enumerate(held):
         x[i, np.frombuffer(at, "<i4")] = np.frombuffer(values, np.float32)
@@ -171,8 +177,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
     return train(x, np.array([y for *_, y in held])), {"share": share, "accuracy": dict(zip(names, accuracy.tolist(), strict=True))}
 
 
-def score(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
-    """docs' columns and _score (double): the probability that the text is good."""
+def score(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text", score_col: str = "_score") -> DataFrame:
+    """docs' columns and, last, score_col (double): the probability that the text is good.  No column of docs may have that name."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,14 +190,15 @@ def score(docs: DataFrame, weights: np.ndarray, *, id_col: str = "doc_id", text_
                 texts = [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]
                 odds = [float(features(t, figures(t)) @ w[:-1] + w[-1]) for t in texts]
                 scores = pa.array(1 / (1 + np.exp(-np.clip(odds, -30, 30))), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, score_col])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:
     """docs without those scored under keep; columns as they were."""
     weights, _ = fit(docs, id_col=id_col, text_col=text_col)
-    return score(docs, weights, id_col=id_col, text_col=text_col).where(F.col("_score") >= keep).drop("_score")
+    name = f"score_{uuid.uuid4().hex}"  # no column of docs has such a name
+    return score(docs, weights, text_col=text_col, score_col=name).where(F.col(name) >= keep).drop(name)

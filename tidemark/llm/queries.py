@@ -36,9 +36,7 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = chat.perspectives(table(spark, sf_dir, "conversations"))
-    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
-    return seen.select("conv_id", "shard", "participant", "n_turns", "n_trained", "rendered", mask.alias("mask"))
+    return chat.perspectives(table(spark, sf_dir, "conversations"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +54,8 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights, _ = quality.fit(docs)
-    scored = quality.score(docs.select("doc_id", "text"), weights)
-    return scored.select("doc_id", F.col("_score").alias("score"), (F.col("_score") >= quality.KEEP).alias("keep"))
+    scored = quality.score(docs.select("doc_id", "text"), weights, score_col="score")
+    return scored.select("doc_id", "score", (F.col("score") >= quality.KEEP).alias("keep"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
