@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def _stars(pairs: DataFrame, sets: DataFrame, similarity: float, share: int = 128) -> DataFrame:
     """Those of the pairs (a, b; distinct) whose sets are alike.  A node's partners are dealt out over tasks by `share`, each with a copy of its set."""
     spark = pairs.sparkSession
-    counted = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("shares"))
+    counted = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("shares")))
     dealt = written(pairs.join(counted, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), "b"))
     both = dealt.select("a", "share", F.lit(1).alias("kind"), F.col("b").alias("node")).unionByName(dealt.select("a", "share", F.lit(0).alias("kind"), F.col("a").alias("node")).distinct())
     rows = both.join(sets, "node").repartition(partitions(spark), "a", "share").sortWithinPartitions("a", "share", "kind", "node")
@@ -402,11 +402,11 @@ def _rest(members: DataFrame, sets: DataFrame, similarity: float, block: int | N
     block = block or BLOCK
     emitted = members.select("node", "n", "label", F.explode("keys").alias("key"))
     mixed = emitted.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("node", "label")).alias("first")).where("low <> high")
-    mixed = mixed.select("key", F.col("first.label").alias("main"))
+    mixed = written(mixed.select("key", F.col("first.label").alias("main")))
     placed = written(emitted.join(mixed, "key").withColumn("outer", F.col("label") != F.col("main")).drop("main"))
     release(spark)
     size = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(F.when(c, F.greatest("n", F.lit(1))).otherwise(0)) / block)).cast("int")
-    blocks = placed.groupBy("key").agg(size(F.col("outer")).alias("outers"), size(~F.col("outer")).alias("inners"))
+    blocks = written(placed.groupBy("key").agg(size(F.col("outer")).alias("outers"), size(~F.col("outer")).alias("inners")))
     dealt = placed.join(blocks, "key").withColumn("i", F.pmod(F.xxhash64("node"), F.when(F.col("outer"), F.col("outers")).otherwise(F.col("inners"))).cast("int"))
     # The other side j: an inner block, or -1 - an outer block.
     sides = dealt.withColumn("j", F.explode(F.when(F.col("outer"), F.sequence(-F.col("outers"), F.col("inners") - 1)).otherwise(F.sequence(F.lit(0), F.col("outers") - 1))))
