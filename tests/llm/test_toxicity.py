@@ -8,19 +8,31 @@ from tidemark.llm import toxicity
 from .helpers import WORDS, documents
 
 
+def vectors(rng, n, terms, share):
+    out = []
+    for _ in range(n):
+        places = np.flatnonzero(rng.random(terms) < share)
+        values = rng.random(len(places)) + 0.01
+        out.append((places, values / (np.linalg.norm(values) or 1)))
+    return out
+
+
 def test_neighbours_are_exact():
     rng = np.random.default_rng(1)
-    matrix = (rng.random((300, 20)) * (rng.random((300, 20)) < 0.2)).astype(np.float32)
-    matrix[:, 19] = 0.1
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    index = toxicity.Index(matrix, rng.integers(0, 2, 300), np.arange(300), block=16)
-    held = np.concatenate(index.tiles)
-    for _ in range(50):
-        query = rng.random(20) * (rng.random(20) < 0.3) + 0.01
-        query /= np.linalg.norm(query)
-        near, cosine = index.nearest(np.arange(20), query, 7)
-        want = np.sort(held @ query.astype(np.float32))[::-1][:7]
-        assert np.allclose(cosine, want, atol=1e-5) and np.allclose(held[near] @ query, want, atol=1e-5)
+    held = vectors(rng, 300, 60, 0.2)
+    held[7] = held[200] = held[3]  # ties
+    index = toxicity.Index([p for p, _ in held], [v for _, v in held], rng.integers(0, 2, 300), list(range(300)), 60, block=16)
+    matrix = np.zeros((300, 60))
+    for i, (p, v) in enumerate(held):
+        matrix[i, p] = v
+    for k, (p, v) in enumerate([*vectors(rng, 50, 60, 0.3), held[3], (np.zeros(0, np.int64), np.zeros(0))]):
+        without = 5 if k % 2 else None
+        query = np.zeros(60)
+        query[p] = v
+        cosine = matrix @ query
+        want = [i for i in sorted(range(300), key=lambda i: (-round(cosine[i], 12), i)) if i != without][:7]
+        near, close = index.nearest(p, v, 7, without)
+        assert near.tolist() == want and np.allclose(close, cosine[want], atol=1e-9)
 
 
 def test_monotone():
@@ -60,3 +72,58 @@ def test_no_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs, labels)
     assert [r.score for r in toxicity.score(docs, model).collect()] == [0.5, 0.5]
+
+
+def test_against_brute_force(spark):
+    """Every score from dictionaries: terms, document frequencies, relevance, all cosines, the vote, the calibrated map."""
+    items, toxic = corpus()
+    items, toxic = items[:160], toxic[:160]
+    docs = documents(spark, items)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+
+    def terms(text):
+        out = {}
+        for w in toxicity.WORD.findall((text or "").lower()):
+            for t in [w] + ([w[:4] + "*"] if len(w) >= 4 else []):
+                out[t] = out.get(t, 0) + 1
+        return out
+
+    train = [i for i in range(len(items)) if crc32(str(i).encode()) % 3 != 1]
+    every = [terms(t) for t in items]
+    known = {t for i in train for t in every[i]}
+    n1 = sum(toxic[i] for i in train)
+    n0, weight, telling = len(train) - n1, {}, set()
+    for t in known:
+        a, b = (sum(t in every[i] for i in train if toxic[i] == side) for side in (1, 0))
+        share = (a + b) / len(train)
+        z = abs(a / n1 - b / n0) / max((share * (1 - share) * (1 / n1 + 1 / n0)) ** 0.5, 1e-9)
+        weight[t] = (1 + np.log((len(items) + 1) / (sum(t in e for e in every) + 1))) * (0.02 + min(max((z - 3) / 3, 0), 1))
+        telling |= {t} if z >= 3 else set()
+
+    def vector(i):
+        words = toxicity.WORD.findall((items[i] or "").lower())
+        held = {t: np.log1p(n) * weight[t] for t, n in every[i].items() if t in known}
+        held["shared"] = np.log(2 + sum(w not in telling and w[:4] + "*" not in telling for w in words))
+        norm = sum(x * x for x in held.values()) ** 0.5
+        return {t: x / norm for t, x in held.items()}
+
+    space = {i: vector(i) for i in train}
+
+    def raw(own, without=None):
+        cosine = {i: sum(x * v.get(t, 0) for t, x in own.items()) for i, v in space.items() if i != without}
+        near = sorted(cosine, key=lambda i: (-round(cosine[i], 12), i))[: toxicity.NEIGHBOURS]
+        each = [(1 / (max(0, 1 - cosine[i]) + toxicity.SOFT), toxic[i]) for i in near]
+        return sum(w * t for w, t in each) / sum(w for w, _ in each)
+
+    steps = toxicity.monotone(np.array([raw(space[i], i) for i in train]), np.array([toxic[i] for i in train]))
+    model = toxicity.fit(docs, labels, where=~toxicity.held_out())
+    for r in toxicity.score(docs, model).collect():
+        assert abs(r.score - np.clip(np.interp(raw(vector(r.doc_id)), *steps), 0, 1)) < 1e-6, r.doc_id
+
+
+def test_ids_of_any_kind_and_repeated_rows(spark):
+    rows = [(f"d{i}", "vexxed blorg talk" if i % 2 else "the cat sat here", i) for i in range(40)] + [("d1", "other text of d1", 0), ("d1", "vexxed blorg talk", 0)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, evidence int")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(40)], "doc_id string, toxic int")
+    found = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(found) == len(rows) and all(isinstance(e, str) for r in found for e in r.evidence)

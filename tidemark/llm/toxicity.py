@@ -1,24 +1,32 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are a text's words (runs of letters, lowered) and their prefixes of 4 to 6
-letters.  From a bounded sample of labelled rows (EXAMPLES, those of least id
-hash) the TERMS terms are taken that most tell the classes apart; a vector has
-the TF-IDF weights of these and, as one further dimension, of all other words, so
-that the cosine knows how much of a text the terms are.
-
-The examples stand in a block-max inverted index: sorted so that alike ones are
-neighbours, cut into blocks, with the largest weight of each term in each block.
-A text's cosine with any example of a block is at most its product with the
-block's maxima; blocks are visited from the largest bound down, until no bound
-exceeds the NEIGHBOURS-th best cosine.  The neighbours are therefore exact.
+Terms are a text's words (runs of letters, lowered) and their prefixes of PREFIX
+letters.  The examples are a bounded sample of labelled rows (EXAMPLES, those of
+least id hash); every term of theirs is a dimension.  A vector has log(1 + count) *
+idf * relevance: idf from the document frequencies over all documents; relevance is
+FLOOR for a term that tells the examples' classes apart no better than chance, and
+grows to 1 + FLOOR with its z score between the classes (CHANCE to CERTAIN).  One more
+dimension that all texts share is for the words of which no term tells (log(2 + how
+many)), so that the cosine knows how much of a text the telling ones are.  Plain TF-IDF
+(relevance 1) finds neighbours by topic: see the README's figures.
+
+The examples stand in an inverted index: for each term the examples that have it
+and their weights, in blocks of BLOCK examples, with the largest weight of each
+block.  A text's cosine with any example of a block is at most the sum over its
+terms of weight times block maximum; the blocks of the largest bounds are scored
+first, then all whose bound is not below the NEIGHBOURS-th best cosine so far.  The
+neighbours are therefore exact.
 
 A score is the neighbours' share of toxic labels, weighted by 1 / (distance +
-SOFT), then calibrated: a monotone map fitted on the examples, each without
-itself.  The evidence is the ids of the nearest toxic examples.
-
-Null and empty texts have no terms and get the score of such a text.  Labels of
-rows that are not in docs are no examples; of several labels of an id the largest
-counts.  Without examples the score is 0.5 for all.
+SOFT), then calibrated: a monotone map fitted on all examples, each without itself.
+The evidence is the ids of the nearest toxic examples.
+
+Null and empty texts have the shared dimension alone.  Ties in
+cosine go to the smaller id.  Labels of rows that are not in docs are no examples; of
+several labels of an id the largest counts, of several texts the one of least hash.
+Without examples the score is 0.5 for all.  Rows alike have equal results, one for
+each row; an empty table gives an empty one.  Texts of any length count whole.  Only
+the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -29,14 +37,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import discard, text_key, text_of, written
 from .minhash import runs
 
-EXAMPLES = 6000
-TERMS = 500
+EXAMPLES = 3000
+PREFIX = 4
+FLOOR, CHANCE, CERTAIN = 0.02, 3.0, 6.0
 NEIGHBOURS = 24
 BLOCK = 64
 SOFT = 0.03
@@ -48,76 +58,129 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(f"{word[:k]}*" for k in (4, 5, 6) if len(word) >= k)]
+def terms_of(word: str) -> list[int]:
+    """Hashes of a word's terms."""
+    own = [xxhash.xxh64_intdigest(word, 1)]
+    return [*own, xxhash.xxh64_intdigest(word[:PREFIX], 2)] if len(word) >= PREFIX else own
+
+
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's terms and how often each occurs."""
+    found: Counter = Counter()
+    for word, n in Counter(WORD.findall(text.lower())).items():
+        for t in terms_of(word):
+            found[t] += n
+    terms = np.fromiter(found.keys(), np.uint64, len(found))
+    order = np.argsort(terms)
+    return terms[order], np.fromiter(found.values(), np.int64, len(found))[order]
 
 
-class Weights:
-    """Terms, their weights, and the vectors of texts."""
+class Vocabulary:
+    """The terms (ascending hashes) and which of them tell; words are looked up once."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray) -> None:
-        self.place, self.idf = {t: i for i, t in enumerate(terms)}, idf
-        self.known: dict[str, tuple[int, ...]] = {}
+    def __init__(self, terms: np.ndarray, telling: np.ndarray | None = None) -> None:
+        self.terms, self.telling = terms, np.zeros(len(terms), bool) if telling is None else telling
+        self.place: dict[int, int] | None = None
+        self.known: dict[str, tuple[tuple[int, ...], bool]] = {}
 
-    def counts(self, text: str) -> tuple[Counter, int]:
-        """How often each term occurs, and how many words have none."""
-        words = Counter(WORD.findall(text.lower()))
+    def __getstate__(self) -> dict:
+        return {"terms": self.terms, "telling": self.telling, "place": None, "known": {}}
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
+        """Places of the text's terms, ascending, how often each occurs (terms that are none of these are left out), and how many words have no telling one."""
+        if self.place is None:
+            self.place = dict(zip(self.terms.tolist(), range(len(self.terms)), strict=True))
         found: Counter = Counter()
         other = 0
-        for word, n in words.items():
+        for word, n in Counter(WORD.findall(text.lower())).items():
             own = self.known.get(word)
             if own is None:
-                own = tuple(self.place[t] for t in terms_of(word) if t in self.place)
+                at = tuple(self.place[t] for t in terms_of(word) if t in self.place)
+                own = at, any(self.telling[x] for x in at)
                 if len(self.known) > 300_000:
                     self.known.clear()
                 self.known[word] = own
-            for t in own:
+            for t in own[0]:
                 found[t] += n
-            if not own:
-                other += n
-        return found, other
+            other += 0 if own[1] else n
+        places = np.fromiter(found.keys(), np.int64, len(found))
+        order = np.argsort(places)
+        return places[order], np.fromiter(found.values(), np.int64, len(found))[order], other
 
-    def vector(self, found: Counter, other: int) -> tuple[np.ndarray, np.ndarray]:
-        places = np.array([*sorted(found), len(self.idf)], np.int64)
-        values = np.array([np.log1p(found[p]) * self.idf[p] for p in places[:-1]] + [np.log1p(other) if found else 1.0])
-        norm = np.sqrt((values**2).sum())
-        return places, values / (norm or 1.0)
 
+def unit(places: np.ndarray, n: np.ndarray, other: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dimensions and values of a vector of length 1; the shared dimension is the one after the terms'."""
+    values = np.append(np.log1p(n) * weights[places], np.log(2 + other))
+    return np.append(places, len(weights)), values / np.sqrt((values**2).sum())
 
-class Index:
-    """Examples in blocks, with each block's largest weights."""
 
-    def __init__(self, matrix: np.ndarray, labels: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> None:
-        order = np.lexsort((matrix.max(1, initial=0), matrix.argmax(1) if matrix.size else np.zeros(len(matrix)), labels))
-        self.tiles = np.array_split(matrix[order].astype(np.float32), range(block, len(matrix), block))
-        self.first = np.cumsum([0, *map(len, self.tiles)])
-        self.labels, self.ids = labels[order], ids[order]
-        self.most = np.stack([t.max(0) for t in self.tiles])
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0] .. first[0] + size[0] - 1, first[1] .."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+class Index:
+    """Postings of the examples (ids ascending), in blocks, with each block's largest weight."""
+
+    def __init__(self, places: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, ids: list, terms: int, block: int = BLOCK) -> None:
+        self.labels, self.ids, self.block = labels, ids, block
+        self.blocks = -(-len(ids) // block)
+        size = np.array([len(p) for p in places], np.int64)
+        term, weight = np.concatenate(places), np.concatenate(values)
+        # Alike examples are put side by side, so that a block's maxima are near its members: by the heaviest term.
+        heaviest = np.array([p[np.argmax(v)] if len(p) else -1 for p, v in zip(places, values, strict=True)])
+        self.order = np.argsort(heaviest, kind="stable")  # slot -> example
+        slot = np.empty(len(ids), np.int64)
+        slot[self.order] = np.arange(len(ids))
+        at = np.repeat(slot, size)
+        by = np.lexsort((at, term))
+        term, at, weight = term[by], at[by], weight[by]
+        fresh = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (at[1:] // block != at[:-1] // block))) if len(term) else np.zeros(0, np.int64)
+        self.at, self.weight = at.astype(np.int32), weight.astype(np.float64)
+        self.begin = np.append(fresh, len(term))  # of an entry (a term's postings in a block) in the postings
+        self.of = (at[fresh] // block).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, fresh) if len(fresh) else np.zeros(0)
+        self.first = np.searchsorted(term[fresh], np.arange(terms + 1))  # of a term in the entries
 
     def nearest(self, places: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (ties: the first in the index) and the cosines; without: an example left out."""
-        values = values.astype(np.float32)
-        bound = self.most[:, places] @ values
-        at, cosine, least = [], [], -1.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] + 1e-5 < least:
-                break
-            own = self.tiles[b][:, places] @ values
-            at.append(np.arange(self.first[b], self.first[b + 1]))
-            cosine.append(own)
-            if without is not None and self.first[b] <= without < self.first[b + 1]:
-                at[-1], cosine[-1] = np.delete(at[-1], without - self.first[b]), np.delete(own, without - self.first[b])
-            if sum(map(len, at)) > k:
-                all_at, all_cosine = np.concatenate(at), np.concatenate(cosine)
-                top = np.lexsort((all_at, -all_cosine))[:k]
-                at, cosine = [all_at[top]], [all_cosine[top]]
-                least = float(cosine[0][-1])
-        all_at, all_cosine = np.concatenate(at), np.concatenate(cosine)
-        top = np.lexsort((all_at, -all_cosine))[:k]
-        return all_at[top], all_cosine[top]
+        """The k examples of largest cosine (ties: the smaller id) and the cosines; without: an example left out."""
+        size = self.first[places + 1] - self.first[places]
+        entry, value = _ranges(self.first[places], size), np.repeat(values, size)
+        of = self.of[entry]
+        bound = np.bincount(of, value * self.most[entry], self.blocks)
+        by = np.argsort(-bound, kind="stable")
+        few = max(4, -(-2 * k // self.block))
+        cosine, seen = np.zeros(len(self.ids)), np.zeros(self.blocks, bool)
+
+        def visit(blocks: np.ndarray) -> None:
+            wanted = np.zeros(self.blocks, bool)
+            wanted[blocks] = True
+            own = wanted[of]
+            e, v = entry[own], value[own]
+            n = self.begin[e + 1] - self.begin[e]
+            posting = _ranges(self.begin[e], n)
+            cosine[:] += np.bincount(self.at[posting], np.repeat(v, n) * self.weight[posting], len(self.ids))
+            seen[blocks] = True
+
+        def best() -> tuple[np.ndarray, np.ndarray]:
+            slots = np.flatnonzero(np.repeat(seen, self.block)[: len(self.ids)])
+            found = self.order[slots]
+            if without is not None:
+                slots, found = slots[found != without], found[found != without]
+            top = np.lexsort((found, -cosine[slots].round(12)))[:k]
+            return found[top], cosine[slots[top]]
+
+        visit(by[:few])
+        near, close = best()
+        least = close[-1] if len(near) == k else -1.0
+        rest = by[few:][bound[by[few:]] >= least - 1e-9]
+        if len(rest):
+            visit(rest)
+            near, close = best()
+        return near, close
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
-        weight = 1 / (np.maximum(0, 1 - cosine.astype(np.float64)) + SOFT)
+        weight = 1 / (np.maximum(0, 1 - cosine) + SOFT)
         return float((weight * self.labels[near]).sum() / weight.sum()) if len(near) else 0.5
 
 
@@ -134,79 +197,113 @@ def monotone(raw: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Model:
-    def __init__(self, weights: Weights, index: Index | None, steps: tuple[np.ndarray, np.ndarray]) -> None:
-        self.weights, self.index, self.steps = weights, index, steps
+    def __init__(self, vocabulary: Vocabulary, weights: np.ndarray, index: Index | None, steps: tuple[np.ndarray, np.ndarray]) -> None:
+        self.vocabulary, self.weights, self.index, self.steps = vocabulary, weights, index, steps
         self.scored: dict[bytes, tuple[float, list]] = {}
 
     def score(self, text: str) -> tuple[float, list]:
         if self.index is None:
             return 0.5, []
-        places, values = self.weights.vector(*self.weights.counts(text))
-        key = places.tobytes() + values.astype(np.float32).tobytes()
+        places, n, other = self.vocabulary.counts(text)
+        key = xxhash.xxh3_128_digest(places.tobytes() + n.tobytes() + str(other).encode())
         if (found := self.scored.get(key)) is None:
-            near, cosine = self.index.nearest(places, values)
+            near, cosine = self.index.nearest(*unit(places, n, other, self.weights))
             raw = self.index.vote(near, cosine)
-            found = float(np.clip(np.interp(raw, *self.steps), 0, 1)), [int(x) for x in self.index.ids[near[self.index.labels[near] == 1]][:3]]
-            if len(self.scored) > 100_000:
+            found = float(np.clip(np.interp(raw, *self.steps), 0, 1)), [self.index.ids[x] for x in near[self.index.labels[near] == 1][:3]]
+            if len(self.scored) > 50_000:
                 self.scored.clear()
             self.scored[key] = found
         return found
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: Column | None = None, examples: int = EXAMPLES, terms: int = TERMS) -> Model:
+def scores(with_toxic: np.ndarray, with_clean: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """The z score of each term, from how many examples of either class have it, by a test of equal shares."""
+    share = (with_toxic + with_clean) / max(1, toxic + clean)
+    spread = np.sqrt(share * (1 - share) * (1 / max(1, toxic) + 1 / max(1, clean)))
+    return np.abs(with_toxic / max(1, toxic) - with_clean / max(1, clean)) / np.maximum(spread, 1e-9)
+
+
+def _frequencies(docs: DataFrame, text_col: str, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
+    """In how many documents each term is, and how many documents there are; counted in the tasks, summed by Spark."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the examples' terms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        total, n = np.zeros(len(own.terms), np.int64), 0
+        for batch in batches:
+            for low, high in runs(batch.column(0), 8 << 20):
+                texts = batch.column(0).slice(low, high - low).to_pylist()
+                held = [own.counts(x or "")[0] for x in texts]
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+                n += len(texts)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["term", "n"])
+
+    summed = docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = summed.column("term").to_numpy(), summed.column("n").to_numpy()
+    out = np.zeros(len(vocabulary.terms) + 1, np.int64)
+    out[term] = n  # the last one, -1, is the number of documents
+    return out[:-1], int(out[-1])
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", where: Column | None = None, examples: int = EXAMPLES) -> Model:
     """A model of at most `examples` labelled rows (those of least hash; `where` holds for them)."""
     given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     given = given if where is None else given.where(where)
-    chosen = given.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(examples)
-    texts = docs.select(F.col(id_col).alias("_doc"), text_of(text_col).alias("_text"))
-    sample = cut(texts.join(F.broadcast(chosen), texts["_doc"] == chosen["_id"]).select("_id", "_label", "_text"))  # at most `examples` ids are broadcast
+    chosen = written(given.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(examples))
+    texts = docs.select(F.col(id_col).alias("_doc"), text_of(text_col).alias("_text"), text_key(text_col).alias("_key"))
+    sample = texts.join(F.broadcast(chosen), texts["_doc"] == chosen["_id"])  # at most `examples` ids are broadcast
+    sample = written(sample.groupBy("_id", "_label").agg(F.min_by("_text", "_key").alias("_text")))
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def termed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: list[Counter] = [Counter(), Counter()]
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[min(1, max(0, label))].update({t for w in set(WORD.findall(text.lower())) for t in terms_of(w)})
-            every = sorted(held[0].keys() | held[1].keys())
-            yield pa.RecordBatch.from_pydict({"term": pa.array(every, pa.string()), "clean": pa.array([held[0][t] for t in every], pa.int64()), "toxic": pa.array([held[1][t] for t in every], pa.int64())})
-
-    size = {r["_label"]: r["count"] for r in sample.groupBy("_label").count().collect()}
-    n0, n1 = size.get(0, 0), sum(n for label, n in size.items() if label)
-    if not n0 + n1:
-        return Model(Weights([], np.zeros(0)), None, (np.zeros(1), np.full(1, 0.5)))
-    counted = sample.select("_label", "_text").mapInArrow(words, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    apart = F.col("toxic") / max(n1, 1) - F.col("clean") / max(n0, 1)
-    every = F.col("toxic") + F.col("clean")
-    spread = F.sqrt(every / (n0 + n1) * (1 - every / (n0 + n1 + 1)) * (1 / max(n0, 1) + 1 / max(n1, 1)))
-    best = counted.where((F.col("toxic") >= 3) & (apart > 0) & (F.col("toxic") / max(n1, 1) >= 2 * F.col("clean") / max(n0, 1))).select("term", every.alias("df"), (apart / spread).alias("z")).orderBy(F.desc("z"), "term").limit(terms).collect()
-    weights = Weights([r.term for r in best], np.array([1 + np.log((n0 + n1 + 1) / (r.df + 1)) for r in best]))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [weights.vector(*weights.counts(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p.tolist() for p, _ in found], pa.list_(pa.int64())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float64()))], ["id", "label", "places", "values"])
+            for low, high in runs(batch.column(2), 8 << 20):
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([counts(t)[0].tobytes() for t in part.column(2).to_pylist()], pa.binary())], ["id", "label", "terms"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = sorted(sample.select("_id", "_label", "_text").mapInArrow(vectors, f"id {kind}, label int, places array<long>, values array<double>").collect(), key=lambda r: r.id)
-    matrix = np.zeros((len(rows), len(best) + 1), np.float32)
-    for i, r in enumerate(rows):
-        matrix[i, r.places] = r["values"]
-    index = Index(matrix, np.array([int(r.label > 0) for r in rows]), np.array([r.id for r in rows]))
-    held = np.concatenate(index.tiles)
-    some = range(len(held)) if len(held) <= 3000 else range(0, len(held), -(-len(held) // 3000))
-    raw = [index.vote(*index.nearest(p := np.flatnonzero(held[i]), held[i, p], without=i)) for i in some]
-    return Model(weights, index, monotone(np.array(raw), index.labels[list(some)]))
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in runs(batch.column(1), 8 << 20):
+                part = batch.slice(low, high - low)
+                found = [vocabulary.counts(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([p.tobytes() for p, _, _ in found], pa.binary()), pa.array([n.tobytes() for _, n, _ in found], pa.binary()), pa.array([o for _, _, o in found], pa.int64())], ["id", "places", "n", "other"])
+
+    held = sample.select("_id", "_label", "_text").mapInArrow(termed, f"id {kind}, label int, terms binary").toArrow()
+    discard(chosen)
+    if not len(held):
+        return Model(Vocabulary(np.zeros(0, np.uint64)), np.zeros(0), None, (np.zeros(1), np.full(1, 0.5)))
+    rows = sorted(zip(*(held.column(c).to_pylist() for c in ("id", "label", "terms")), strict=True), key=lambda r: r[0])
+    toxic = np.array([r[1] > 0 for r in rows])
+    terms = [np.frombuffer(r[2], np.uint64) for r in rows]
+    every = np.unique(np.concatenate(terms))
+    with_term = [np.zeros(len(every), np.int64) for _ in range(2)]
+    for t, side in zip(terms, toxic.tolist(), strict=True):
+        with_term[side][np.searchsorted(every, t)] += 1
+    z = scores(with_term[1], with_term[0], int(toxic.sum()), int((~toxic).sum()))
+    vocabulary = Vocabulary(every, z >= CHANCE)
+    frequency, n = _frequencies(docs, text_col, vocabulary)
+    weights = (1 + np.log((n + 1) / (frequency + 1))) * (FLOOR + np.clip((z - CHANCE) / (CERTAIN - CHANCE), 0, 1))
+    held = sample.select("_id", "_text").mapInArrow(counted, f"id {kind}, places binary, n binary, other long").toArrow()
+    discard(sample)
+    found = sorted(zip(*(held.column(c).to_pylist() for c in ("id", "places", "n", "other")), strict=True), key=lambda r: r[0])
+    vectors = [unit(np.frombuffer(p, np.int64), np.frombuffer(c, np.int64), o, weights) for _, p, c, o in found]
+    index = Index([p for p, _ in vectors], [v for _, v in vectors], toxic.astype(int), [r[0] for r in rows], len(every) + 1)
+    raw = [index.vote(*index.nearest(p, v, without=i)) for i, (p, v) in enumerate(vectors)]
+    return Model(vocabulary, weights, index, monotone(np.array(raw), index.labels))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, score (0 to 1), evidence (ids of up to three of the nearest toxic examples); one row for each row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES x TERMS weights
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the examples' terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
             for low, high in runs(batch.column(1), 8 << 20):
-                found = [own.score(x or "") for x in batch.column(1).slice(low, high - low).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(pa.int64()))], [id_col, "score", "evidence"])
+                part = batch.slice(low, high - low)
+                found = [own.score(x or "") for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.list_(part.column(0).type))], [id_col, "score", "evidence"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, score double, evidence array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, score double, evidence array<{kind}>")
