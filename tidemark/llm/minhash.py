@@ -38,7 +38,7 @@ PERMUTATIONS = 128
 BANDS = 25
 SIMILARITY = 0.8
 #: Shingles in one side of a comparison of blocks, about.
-BLOCK = 1 << 17
+BLOCK = 1 << 16
 #: Bytes of text that are hashed at once; the arrays for them take about a hundred times as many.
 SLICE = 1 << 18
 BLANKS = np.zeros(256, bool)
