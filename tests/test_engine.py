@@ -98,7 +98,7 @@ def engine(spark, archive, nearline):
 
 def test_tenant_sees_its_own(engine):
     own, other = engine.session("orgid1"), engine.session("orgid2")
-    for name in ("metricid1", "`metricid1`", "fineo.metricid1", "fineo.orgid1.metricid1", "OTHER"):
+    for name in ("metricid1", "`metricid1`", "tidemark.metricid1", "tidemark.orgid1.metricid1", "OTHER"):
         assert own.sql(f"SELECT count(*) AS n FROM {name}").first().n == 10
     assert other.run("SELECT field1 FROM metricid1") == [{"field1": 1}]
     assert [r["timestamp"] for r in own.run("SELECT * FROM metricid1")] == sorted(r["timestamp"] for r in own.run("SELECT * FROM metricid1"))
@@ -110,7 +110,7 @@ def test_tenant_sees_its_own(engine):
 @pytest.mark.parametrize(
     "sql",
     [
-        "SELECT * FROM fineo.orgid2.metricid1",
+        "SELECT * FROM tidemark.orgid2.metricid1",
         "SELECT * FROM parquet.`/tmp`",
         "SELECT * FROM nothing",
         "SELECT (SELECT max(x) FROM json.`/tmp/x`) FROM metricid1",
@@ -122,30 +122,107 @@ def test_tenant_sees_its_own(engine):
         "DELETE FROM metricid1",
         "SELECT reflect('java.lang.System', 'exit', 1)",
         "FROM metricid1 INSERT INTO x SELECT *",
-        "ALTER SESSION SET a = 1",
-        "DESCRIBE fineo.orgid2.metricid1",
+        "ALTER SYSTEM SET a = 1",
+        "ALTER SESSION DROP a",
+        "SELECT x, row_number() OVER secret AS n FROM secret WINDOW secret AS (ORDER BY x)",
+        "SELECT s.x FROM secret s, (WITH secret AS (SELECT 1 AS y) SELECT y FROM secret) t",
+        "SELECT * FROM IDENTIFIER('sec' || 'ret')",
+        "WITH a AS (SELECT * FROM secret), secret AS (SELECT 1) SELECT * FROM a",
+        "SELECT (SELECT max(x) FROM spark_catalog.default.secret)",
+        "SELECT system.builtin.reflect('java.lang.System', 'exit', 1)",
+        "DESCRIBE tidemark.orgid2.metricid1",
     ],
 )
-def test_rejected(engine, sql):
+def test_rejected(spark, engine, sql):
+    spark.sql("CREATE TABLE IF NOT EXISTS default.secret USING parquet AS SELECT 42 AS x")
     with pytest.raises(ValueError):
         engine.session("orgid1").sql(sql).collect()
 
 
+def test_names_have_scopes(engine):
+    own = engine.session("orgid1")
+    assert own.sql("WITH metricid1 AS (SELECT field1 FROM metricid1 WHERE field1 = 7) SELECT a.field1, b.n FROM metricid1 a, (SELECT count(*) AS n FROM tidemark.metricid1) b").collect() == [(7, 10)]
+    assert own.sql("SELECT metricid1.field1 FROM tidemark.orgid1.metricid1 TABLESAMPLE BERNOULLI (100) WHERE metricid1.field1 = 8").count() == 1
+    assert own.sql("TABLE metricid1").count() == 10
+    assert own.sql("SELECT SESSION_USER AS a, CURRENT_USER AS b, CURRENT_SCHEMA AS c, CURRENT_ROLE AS d").first() == ("orgid1", "orgid1", "tidemark.orgid1", "")
+    assert own.sql("SELECT '${spark.master}' AS v").first().v == "${spark.master}"
+
+
+@pytest.mark.parametrize(
+    ("sql", "days"),
+    [
+        ("SELECT * FROM metricid1 WHERE timestamp < 86400000", [0]),
+        ("SELECT * FROM metricid1 m WHERE 172800000 > m.timestamp AND m.timestamp >= 86400000", [1]),
+        ("SELECT * FROM metricid1 WHERE timestamp = 3 OR timestamp = 5", [0]),
+        ("SELECT * FROM metricid1 WHERE timestamp IN (3, 86400001)", [0, 1]),
+        ("SELECT count(*) AS n FROM (SELECT * FROM other) t WHERE timestamp BETWEEN 1 AND 2", [0]),
+        ("SELECT a.field1 FROM metricid1 a JOIN metricid1 b ON a.field1 = b.field1 AND a.timestamp < 10 AND b.timestamp < 10", [0]),
+        ("WITH t AS (SELECT * FROM metricid1) SELECT * FROM t WHERE timestamp < ?", [0]),
+        ("SELECT * FROM metricid1 WHERE timestamp < 10 OR field1 = 2", [0, 1]),
+        ("SELECT * FROM metricid1 WHERE timestamp <> 5", [0, 1]),
+        ("SELECT * FROM metricid1 WHERE timestamp * 2 < 10", [0, 1]),
+        ("SELECT * FROM metricid1 WHERE NOT (timestamp >= 86400000 OR timestamp < 2)", [0]),
+    ],
+)
+def test_statements_prune_days(engine, sql, days):
+    own = engine.session("orgid1").sql(sql, args=[86400000] if "?" in sql else None)
+    read = sorted({int(f.split("/1970-01-0")[1][0]) - 1 for f in own.inputFiles() if "/parquet/" in f})
+    assert read == days
+
+
+def test_statements_prune_windows(engine):
+    used, asked = [], engine.nearline.read
+    engine.nearline.read = lambda spark, w: used.append(w.name) or asked(spark, w)
+    own = engine.session("orgid1")
+    assert own.sql("SELECT count(*) AS n FROM metricid1 WHERE timestamp < 86400000").first().n == 4 and not used
+    assert own.sql("SELECT count(*) AS n FROM metricid1 WHERE timestamp >= 172800000").first().n == 2 and used
+
+
+def test_session_options(engine):
+    own = engine.session("orgid1")
+    assert own.sql("ALTER SESSION SET `max_rows` = 3").first().ok and len(own.run("SELECT * FROM metricid1")) == 3
+    assert own.sql("ALTER SESSION RESET max_rows").first().ok and len(own.run("SELECT * FROM metricid1")) == 10
+    with pytest.raises(ValueError, match="max_rows"):
+        own.sql("ALTER SESSION SET max_rows = 'x'")
+
+
+def test_unreadable_tables_are_hidden(spark, tmp_path):
+    for name in ("nl_0_10", "nl_10_20"):
+        spark.range(1).write.parquet(f"{tmp_path}/{name}")
+    (tmp_path / "nl_10_20").chmod(0)
+    try:
+        assert [w.name for w in Nearline(str(tmp_path)).windows(spark)] == ["nl_0_10"]
+    finally:
+        (tmp_path / "nl_10_20").chmod(0o755)
+
+
+def test_key_mappers(spark):
+    from tidemark.sources.keys import KeyMapper, choose
+
+    one = KeyMapper("pk", ("h1", "h2"), pattern="(a)(.*)")
+    two = KeyMapper("sort", ("h3", "h4"), ("int", "int"), lengths=(1, None))
+    rows = two.split(one.split(spark.createDataFrame([("ab", "12")], "pk string, sort string")))
+    assert rows.first() == ("ab", "12", "a", "b", 1, 2)
+    assert one.pushed(("and", ("=", "h1", "a"), ("=", "h2", "b"))) == ("and", ("=", "pk", "ab"), ("=", "h1", "a"), ("=", "h2", "b"))
+    assert one.pushed(("=", "h1", "a")) == ("=", "h1", "a") and one.pushed(("and", ("=", "h1", "z"), ("=", "h2", "b")))[1] == ("=", "h1", "z")
+    assert choose({"x.*": two, ".*t": one}, "at") is one and choose({"x": one}, "at") is None
+
+
 def test_commands(engine):
     own = engine.session("orgid1")
-    assert [r.TABLE_NAME for r in own.sql("SHOW TABLES IN FINEO LIKE 'm%'").collect()] == ["metricid1"]
-    assert [r.SCHEMA_NAME for r in own.sql("SHOW SCHEMAS WHERE SCHEMA_NAME = 'FINEO'").collect()] == ["FINEO"]
+    assert [r.TABLE_NAME for r in own.sql("SHOW TABLES IN TIDEMARK LIKE 'm%'").collect()] == ["metricid1"]
+    assert [r.SCHEMA_NAME for r in own.sql("SHOW SCHEMAS WHERE SCHEMA_NAME = 'TIDEMARK'").collect()] == ["TIDEMARK"]
     assert [r.COLUMN_NAME for r in own.sql("DESC metricid1").collect()] == ["timestamp", "field1", "raw", "late"]
     assert "Scan" in own.sql("EXPLAIN PLAN FOR SELECT * FROM metricid1").first().plan
-    assert own.sql("USE anything").first().summary == "fineo.orgid1"
+    assert own.sql("USE anything").first().summary == "tidemark.orgid1"
 
 
 def test_information_schema(spark, engine):
     count = lambda f, user: f(spark, engine.catalog, user).count()
     assert (count(metadata.catalogs, None), count(metadata.schemata, None), count(metadata.tables, None), count(metadata.columns, None)) == (1, 0, 0, 0)
-    assert {r.SCHEMA_NAME for r in metadata.schemata(spark, engine.catalog, "orgid1").collect()} == {"INFORMATION_SCHEMA", "ERRORS", "FINEO"}
+    assert {r.SCHEMA_NAME for r in metadata.schemata(spark, engine.catalog, "orgid1").collect()} == {"INFORMATION_SCHEMA", "ERRORS", "TIDEMARK"}
     own = {(r.TABLE_SCHEMA, r.TABLE_NAME) for r in metadata.tables(spark, engine.catalog, "orgid1").collect()}
-    assert ("FINEO", "metricid1") in own and not any("orgid2" in s for s, _ in own)
+    assert ("TIDEMARK", "metricid1") in own and not any("orgid2" in s for s, _ in own)
     assert count(metadata.tables, metadata.SUPER) > len(own)
 
 
@@ -160,9 +237,21 @@ def test_error_stream(spark, tmp_path, engine):
     (plain / "empty").write_text("")
     with gzip.open(packed / "b.json.gz", "wt") as out:
         out.write(lines)
+    (tmp_path / "stream/raw/error/2016/1/4").mkdir()
+    with gzip.open(tmp_path / "stream/raw/error/2016/1/4/c.gzip", "wt") as out:
+        out.write(lines + "\n\n")
     engine.error_base = str(tmp_path)
     rows = engine.session("orgid1").sql("SELECT e.stage, e.type, e.day, e.hour FROM errors.stream e").collect()
-    assert sorted(map(tuple, rows), key=str) == [("raw", "error", "2", None), ("staged", "malformed", "3", None)]
+    assert sorted(map(tuple, rows), key=str) == [("raw", "error", "2", None), ("raw", "error", "4", None), ("staged", "malformed", "3", None)]
+    for where, n, read in (("stage = 'raw'", 2, 2), ("day IN ('2', '4') AND type = 'error'", 2, 2), ("type = 'malformed' OR day = '2'", 2, 2), ("stage <> 'raw'", 1, 1), ("hour = '5'", 0, 0), ("hour IS NULL", 3, 3)):
+        seen = []
+        asked = errors.files
+        errors.files = lambda *a: seen.extend(found := asked(*a)) or found  # noqa: B023
+        try:
+            assert engine.session("orgid1").sql(f"SELECT apikey FROM errors.stream WHERE {where}").count() == n
+        finally:
+            errors.files = asked
+        assert len(seen) == read, where
     assert errors.read(spark, str(tmp_path), "nobody").count() == 0
 
 
@@ -212,7 +301,14 @@ def test_key_value_source(spark, tmp_path):
     kv.register(spark)
     spark.createDataFrame([(f"k{i % 5}", i, f"v{i}") for i in range(100)], "pk string, sort long, v string").repartition(3).write.parquet(f"{tmp_path}/t")
     rows = spark.read.format("kv").option("path", f"{tmp_path}/t").option("hash", "pk").option("sort", "sort").load()
-    assert rows.count() == 100 and rows.rdd.getNumPartitions() == kv.SEGMENTS
+    assert rows.count() == 100 and rows.rdd.getNumPartitions() == 1
+    assert rows.where("v = 'v7'").count() == 1 and rows.where("v in ('v7', 'v8')").count() == 2 and rows.where("v <> 'v7'").count() == 99
+    assert rows.where("v is null").count() == 0 and rows.where("v is not null and sort < 3").count() == 3
+    read = kv.Reader(rows.schema, {"path": f"{tmp_path}/t", "hash": "pk", "sort": "sort"})
+    list(read.pushFilters([kv.EqualTo(("v",), "v7")]))
+    assert [sum(b.num_rows for b in read.read(s)) for s in read.partitions()] == [1]
+    wide = spark.read.format("kv").option("path", f"{tmp_path}/t").option("hash", "pk").option("segments", 3).load()
+    assert wide.rdd.getNumPartitions() == 3 and wide.count() == 100
     one = rows.where("pk = 'k1' and sort = 6")
     assert [r.v for r in one.collect()] == ["v6"] and one.rdd.getNumPartitions() == 1
     assert rows.where("pk = 'k1' and sort >= 50 and v like '%1'").count() == 5

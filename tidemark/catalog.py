@@ -7,8 +7,8 @@ from dataclasses import asdict, dataclass, field
 
 from .types import spark_type
 
-ROOT = "fineo"
-ERRORS = "errors"
+#: The schema that holds the tenants' tables, where a catalog names no other.
+ROOT = "tidemark"
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,7 @@ class Catalog:
 
     metrics: list[Metric] = field(default_factory=list)
     extra_orgs: tuple[str, ...] = ()
+    root: str = ROOT
 
     def orgs(self) -> list[str]:
         return sorted({m.org for m in self.metrics} | set(self.extra_orgs))
@@ -69,10 +70,10 @@ class Catalog:
         self.metrics = [m for m in self.metrics if m is not gone]
 
     def to_json(self) -> str:
-        return json.dumps({"orgs": list(self.extra_orgs), "metrics": [asdict(m) for m in self.metrics]})
+        return json.dumps({"root": self.root, "orgs": list(self.extra_orgs), "metrics": [asdict(m) for m in self.metrics]})
 
     @classmethod
     def from_json(cls, text: str) -> Catalog:
         data = json.loads(text)
         made = [Metric(m["org"], m["metric_id"], m["name"], tuple(Field(f["cname"], f["name"], f["type"], tuple(f.get("aliases", ()))) for f in m.get("fields", ())), tuple(m.get("aliases", ()))) for m in data.get("metrics", ())]
-        return cls(made, tuple(data.get("orgs", ())))
+        return cls(made, tuple(data.get("orgs", ())), data.get("root", ROOT))

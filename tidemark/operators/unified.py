@@ -61,6 +61,11 @@ def split_key(items: DataFrame, names: tuple[str, ...], pattern: str, *, key: st
     return items.select("*", *[F.regexp_extract(F.col(key).cast("string"), pattern, i + 1).cast(t).alias(n) for i, (n, t) in enumerate(zip(names, kinds, strict=True))])
 
 
+def columns_of(metric: Metric, *, radio: bool = False) -> str:
+    """The schema of the metric's unified table."""
+    return ", ".join(["timestamp long", *([f"{RADIO} map<string,string>"] if radio else []), *(f"`{f.name}` {spark_type(f.type).simpleString()}" for f in metric.fields)])
+
+
 def unified(spark: SparkSession, metric: Metric, *, nearline: Nearline | None = None, archives: tuple[Archive | DataFrame, ...] = (), predicate: tuple | None = None, radio: bool = False, strict: bool = True, ordered: bool = False) -> DataFrame:
     """All rows of the metric that predicate may need (the predicate itself is the caller's to apply).
 
@@ -78,7 +83,7 @@ def unified(spark: SparkSession, metric: Metric, *, nearline: Nearline | None =
             rows = expand(items).withColumnRenamed(SORT, TIMESTAMP)
             branches.append(resolve(rows, metric, radio=radio, strict=strict, hidden=(KEY,)))
     for source in archives:
-        rows = source if isinstance(source, DataFrame) else source.read(spark, metric, wanted, boundary)
+        rows = source if isinstance(source, DataFrame) else source.read(spark, metric, wanted, boundary, radio=radio)
         if rows is None:
             continue
         rows = rows.where((F.col(ORG) == metric.org) & (F.col(METRIC) == metric.metric_id))
@@ -89,7 +94,6 @@ def unified(spark: SparkSession, metric: Metric, *, nearline: Nearline | None =
         within = reduce(lambda a, b: a | b, [F.col("timestamp").between(a, b) for a, b in wanted.parts], F.lit(False))
         branches = [b.where(within) for b in branches]
     if not branches:
-        columns = ["timestamp long", *([f"{RADIO} map<string,string>"] if radio else []), *(f"`{f.name}` {spark_type(f.type).simpleString()}" for f in metric.fields)]
-        return spark.createDataFrame([], ", ".join(columns))
+        return spark.createDataFrame([], columns_of(metric, radio=radio))
     out = reduce(lambda a, b: a.unionByName(b), branches)
     return out.orderBy("timestamp") if ordered else out

@@ -236,14 +236,14 @@ SQL: dict[str, tuple[str, str | None]] = {
 
 #: Over a tenant's session: SQL, and the rows by DuckDB (None: rows alone are checked).
 TENANT: dict[str, tuple[str, str | None]] = {
-    "session_filter": ("SELECT event_id, value FROM fineo.events WHERE value > 50", f"SELECT event_id, value FROM {OWN} WHERE value > 50"),
+    "session_filter": ("SELECT event_id, value FROM tidemark.events WHERE value > 50", f"SELECT event_id, value FROM {OWN} WHERE value > 50"),
     "session_alias_table": (f"SELECT count(*) AS n, max(e.value) AS m FROM `ev` e WHERE e.timestamp >= {_A}", f"SELECT count(*) AS n, max(value) AS m FROM {OWN} WHERE timestamp >= {_A}"),
-    "session_join": ("SELECT a.event_id FROM events a JOIN fineo.org0.events b ON a.event_id = b.event_id AND b.value < 20", f"SELECT event_id FROM {OWN} WHERE value < 20"),
+    "session_join": ("SELECT a.event_id FROM events a JOIN tidemark.org0.events b ON a.event_id = b.event_id AND b.value < 20", f"SELECT event_id FROM {OWN} WHERE value < 20"),
     "session_group": ("WITH d AS (SELECT timestamp - timestamp % 86400000 AS day, value FROM events) SELECT day, count(*) AS n, round(sum(value), 4) AS s FROM d GROUP BY day", f"SELECT timestamp - timestamp % 86400000 AS day, count(*) AS n, round(sum(value), 4) AS s FROM {OWN} GROUP BY 1"),
     "error_stream": ("SELECT stage, type, year, month, day, count(*) AS n FROM errors.stream WHERE stage = 'raw' OR type = 'malformed' GROUP BY stage, type, year, month, day", f"SELECT CASE WHEN event_id % 2 = 0 THEN 'raw' ELSE 'staged' END AS stage, CASE WHEN event_id % 3 = 0 THEN 'malformed' ELSE 'error' END AS type, CAST(year(ts) AS VARCHAR) AS year, CAST(month(ts) AS VARCHAR) AS month, CAST(day(ts) AS VARCHAR) AS day, count(*) AS n FROM {OWN} WHERE event_type = 'error' AND (event_id % 2 = 0 OR event_id % 3 = 0) GROUP BY ALL"),
     "information_schema_tables": ("SELECT TABLE_SCHEMA, TABLE_NAME FROM INFORMATION_SCHEMA.`TABLES`", None),
     "information_schema_columns": ("SELECT COLUMN_NAME, ORDINAL_POSITION, DATA_TYPE FROM INFORMATION_SCHEMA.`COLUMNS` WHERE TABLE_NAME = 'events'", "SELECT * FROM (VALUES ('timestamp', 1, 'BIGINT'), ('value', 2, 'DOUBLE'), ('event_id', 3, 'BIGINT'), ('kind', 4, 'BINARY VARYING'), ('late', 5, 'VARCHAR')) AS t(\"COLUMN_NAME\", \"ORDINAL_POSITION\", \"DATA_TYPE\")"),
-    "show_tables": ("SHOW TABLES IN fineo LIKE 'e%'", "SELECT 'FINEO' AS \"TABLE_SCHEMA\", 'events' AS \"TABLE_NAME\""),
+    "show_tables": ("SHOW TABLES IN tidemark LIKE 'e%'", "SELECT 'TIDEMARK' AS \"TABLE_SCHEMA\", 'events' AS \"TABLE_NAME\""),
     "show_schemas": ("SHOW SCHEMAS", None),
     "describe_table": ("DESCRIBE events '%e%'", None),
     "explain_plan": ("EXPLAIN PLAN FOR SELECT count(*) AS n FROM events", None),

@@ -1,38 +1,39 @@
 """A tenant's session: its tables as views, and nothing else.
 
-Isolation does not rest on rewriting: only the tenant's names are registered, in a
-Spark session of its own, and a statement is run only if it is a query over these
-names.  File paths, commands, other schemas and functions that call into the JVM
-are rejected on the parsed plan.
+A statement is run only if its parsed plan is a query whose tables, by the scopes of the
+plan, are the tenant's; and then only if every leaf of the analysed plan lies in a view
+that was made for it.  File paths, commands, other schemas, functions that call into the
+JVM and ${variables} of the configuration are out of reach.
+
+Conditions on a table are taken from the optimised plan of the statement over stand-ins
+for its tables: those on the timestamp prune windows and days, those on the levels of
+the error stream its folders.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import metadata
-from .catalog import ROOT, Catalog
+from .catalog import Catalog
 from .functions.patterns import like_to_regex
-from .operators.unified import unified
+from .operators.unified import columns_of, unified
 from .plans.dialect import text, tokens, translate
+from .plans.parsed import Reference, Rejected, only_reads, pushed, references, replaced
 from .sources import errors
 from .sources.archive import Archive
 from .sources.nearline import Nearline
 
 ISCHEMA = "information_schema"
 READS = {"SELECT", "WITH", "VALUES", "TABLE", "FROM", "("}
-FORBIDDEN = {"reflect", "java_method", "try_reflect"}
-
-
-class Rejected(ValueError):
-    """A statement that a tenant may not run."""
-
+MARK = "@"
 
 @dataclass
 class Engine:
@@ -77,103 +78,133 @@ class Session:
     engine: Engine
     org: str
     spark: SparkSession = field(init=False)
+    options: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if len(self.org) > 1024 or self.org not in self.engine.catalog.orgs():
             raise Rejected(f"unknown tenant {self.org!r}")
         self.spark = self.engine.spark.newSession()
+        self.spark.conf.set("spark.sql.variable.substitute", "false")
 
     def names(self) -> dict[tuple[str, ...], str]:
         """Each name a query may use, in lower case, and its view."""
         out: dict[tuple[str, ...], str] = {}
-        org = self.org.lower()
+        org, root = self.org.lower(), self.engine.catalog.root.lower()
         for m in self.engine.catalog.tables(self.org):
             for n in (*m.aliases, m.name):
-                for full in ((n.lower(),), (ROOT, n.lower()), (ROOT, org, n.lower())):
+                for full in ((n.lower(),), (root, n.lower()), (root, org, n.lower())):
                     out[full] = m.name
-        for n in (("errors", "stream"), (ROOT, "errors", "stream")):
+        for n in (("errors", "stream"), (root, "errors", "stream")):
             out[n] = "errors.stream"
         for n in metadata.ALL:
             out[ISCHEMA, n.lower()] = f"{ISCHEMA}.{n.lower()}"
         return out
 
     def table(self, name: str, predicate: tuple | None = None) -> DataFrame:
-        """A frame of this session by its view's name.  predicate prunes windows and days."""
+        """A frame of this session by its view's name.  predicate prunes windows and days, or folders of the error stream."""
         if name.startswith(ISCHEMA + "."):
             return metadata.ALL[name.split(".")[1].upper()](self.spark, self.engine.catalog, self.org)
         if name == "errors.stream":
             if self.engine.error_frames is not None:
                 return self.engine.error_frames(self.org)
             if self.engine.error_base is None:
-                return self.spark.createDataFrame([], errors.SCHEMA + "".join(f", {x} string" for x in errors.LEVELS))
-            return errors.read(self.spark, self.engine.error_base, self.org)
+                return self.spark.createDataFrame([], errors.whole_schema())
+            return errors.read(self.spark, self.engine.error_base, self.org, predicate)
         metric = self.engine.catalog.find(self.org, name)
         return unified(self.spark, metric, nearline=self.engine.nearline, archives=self.engine.archives, predicate=predicate, radio=self.engine.radio, strict=self.engine.strict)
 
+    def _stand_in(self, name: str, key: int) -> DataFrame | None:
+        """An empty frame of a prunable table's columns, over columns that bear a mark and key; not so plain that the optimiser sees through it."""
+        if name.startswith(ISCHEMA + ".") or name == "errors.stream" and self.engine.error_base is None:
+            return None
+        schema = errors.whole_schema() if name == "errors.stream" else columns_of(self.engine.catalog.find(self.org, name), radio=self.engine.radio)
+        fields = T._parse_datatype_string(schema).fields
+        marked = T.StructType([T.StructField(f"{f.name}{MARK}{key}", f.dataType) for f in fields])
+        frame = self.spark.createDataFrame(self.spark.sparkContext.emptyRDD(), marked)
+        return frame.toDF(*[f.name for f in fields])
+
     def _own(self, df: DataFrame) -> DataFrame:
         """df in this session, whichever session's frames it was made of."""
         plan = df._jdf.logicalPlan()
         return DataFrame(self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, plan), self.spark)
 
-    def check(self, sql: str) -> list[tuple[str, ...]]:
+    def check(self, sql: str) -> list[Reference]:
         """The tables of a query; Rejected for what is no query over this tenant's tables."""
         parts = tokens(sql)
         if not parts or parts[0].upper() not in READS:
             raise Rejected(f"not a query: {sql[:80]!r}")
-        for i, t in enumerate(parts[:-1]):
-            if t.strip("`").lower() in FORBIDDEN and parts[i + 1] == "(":
-                raise Rejected(f"{t} is not allowed")
-        try:
-            plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString()
-        except Exception as e:
-            raise ValueError(str(e).split("JVM stacktrace")[0]) from None
-        if re.match(r"'?(Create|Insert|Drop|Alter|Set|Update|Delete|Merge|Truncate|Load|Cache|Refresh|Add|Call|Overwrite|Replace)", plan):
-            raise Rejected(f"not a query: {sql[:80]!r}")
-        ctes = {parts[i - (1 if parts[i - 1] != ")" else _columns(parts, i))].strip("`").lower() for i in range(1, len(parts) - 1) if parts[i].upper() == "AS" and parts[i + 1] == "("}
-        used = [tuple(x.strip().strip("`").lower() for x in m.split(",")) for m in re.findall(r"'UnresolvedRelation \[(.*?)\]", plan)]
-        known = self.names()
-        for u in used:
-            if u not in known and not (len(u) == 1 and u[0] in ctes):
-                raise Rejected(f"no table {'.'.join(u)!r}")
-        return [u for u in used if u in known and not (len(u) == 1 and u[0] in ctes)]
+        used, known = references(self.spark, sql), self.names()
+        for r in used:
+            if r.key not in known:
+                raise Rejected(f"no table {'.'.join(r.parts)!r}")
+        return used
+
+    def predicates(self, sql: str, used: list[Reference], args: list | dict | None = None) -> list[tuple | None]:
+        """For each reference: the condition right above it (None: none, or none that is of use)."""
+        known, frames = self.names(), {}
+        for i, r in enumerate(used):
+            frame = self._stand_in(known[r.key], i)
+            if frame is None:
+                frame = self.table(known[r.key])
+            frames[i] = f"_s{i}"
+            self._own(frame).createOrReplaceTempView(frames[i])
+        df = self.spark.sql(replaced(sql, [(r, frames[i]) for i, r in enumerate(used)]), args=args)
+        only_reads(self.spark, df, {v.lower() for v in frames.values()})
+        found = pushed(df, MARK)
+        # A table of a WITH that is used twice has two leaves: what either may need is read.
+        out: list[tuple | None] = []
+        for i in range(len(used)):
+            each = found.get(str(i), [None])
+            out.append(None if None in each else each[0] if len(each) == 1 else ("or", *each))
+        return out
 
     def sql(self, query: str, *, args: list | dict | None = None, max_rows: int | None = None, predicate: tuple | None = None) -> DataFrame:
-        """A query, SHOW, DESCRIBE, USE or EXPLAIN in the accepted dialect.
+        """A query, SHOW, DESCRIBE, USE, EXPLAIN or ALTER SESSION in the accepted dialect.
 
         Unified tables without an ORDER BY come in timestamp order where the result has that column.
+        predicate: a condition that holds for all tables besides the statement's own.
         """
         parts = tokens(query)
         first = parts[0].upper() if parts else ""
-        if first in ("SHOW", "DESCRIBE", "DESC", "USE"):
+        if first in ("SHOW", "DESCRIBE", "DESC", "USE", "ALTER"):
             return self._command(parts)
-        sql = translate(query)
+        sql = translate(query, user=self.org, root=self.engine.catalog.root, radio=self.engine.radio)
         explain = tokens(sql)[0].upper() == "EXPLAIN"
         if explain:
             sql = re.sub(r"(?i)^\s*explain\s+(formatted\s+)?", "", sql)
         used = self.check(sql)
         known = self.names()
-        views = {}
-        for u in dict.fromkeys(used):
-            view = "t_" + re.sub(r"\W", "_", known[u])
-            self._own(self.table(known[u], predicate)).createOrReplaceTempView(view)
-            views[u] = view
-        df = self.spark.sql(_renamed(sql, views), args=args)
+        views = []
+        for i, (r, own) in enumerate(zip(used, self.predicates(sql, used, args), strict=True)):
+            both = own if predicate is None else predicate if own is None else ("and", own, predicate)
+            self._own(self.table(known[r.key], both)).createOrReplaceTempView(f"_t{i}")
+            views.append((r, f"_t{i}"))
+        df = self.spark.sql(replaced(sql, views), args=args)
+        only_reads(self.spark, df, {v for _, v in views})
         if explain:
             return self.spark.createDataFrame([(df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")),)], "plan string")
         upper = [p.upper() for p in parts]
         if "ORDER" not in upper and "LIMIT" not in upper and "FETCH" not in upper and "timestamp" in df.columns:
             df = df.orderBy("timestamp")
-        return df.limit(max_rows) if max_rows else df
+        most = max_rows or int(self.options.get("max_rows") or 0)
+        return df.limit(most) if most else df
 
     def run(self, query: str, **options: Any) -> list[dict]:
         """Rows as dictionaries, as a client gets them."""
-        return [r.asDict(recursive=True) for r in self.sql(decode_query(query), **options).toLocalIterator()]
+        return list(self.rows(query, **options))
+
+    def rows(self, query: str, **options: Any) -> Iterator[dict]:
+        """Like run(), one partition's rows after the other."""
+        for r in self.sql(decode_query(query), **options).toLocalIterator():
+            yield r.asDict(recursive=True)
 
     def _command(self, parts: list[str]) -> DataFrame:
         upper = [p.upper() for p in parts]
         unquoted = [p.strip("`'\"") for p in parts]
         if upper[0] == "USE":
-            return self.spark.createDataFrame([(True, f"{ROOT}.{self.org}")], "ok boolean, summary string")
+            return self.spark.createDataFrame([(True, f"{self.engine.catalog.root}.{self.org}")], "ok boolean, summary string")
+        if upper[0] == "ALTER":
+            return self._alter(parts, upper)
         if upper[0] == "SHOW" and upper[1] in ("SCHEMAS", "DATABASES", "TABLES"):
             name = "TABLES" if upper[1] == "TABLES" else "SCHEMATA"
             column = "TABLE_NAME" if name == "TABLES" else "SCHEMA_NAME"
@@ -185,7 +216,8 @@ class Session:
                 rows = rows.where(F.col(column).rlike(like_to_regex(unquoted[upper.index("LIKE") + 1])))
             if "WHERE" in upper:
                 condition = translate(text(parts[upper.index("WHERE") + 1 :]))
-                self.check(f"SELECT 1 FROM {ISCHEMA}.tables WHERE {condition}")
+                if self.check(f"SELECT 1 FROM {ISCHEMA}.tables WHERE {condition}")[1:]:
+                    raise Rejected("SHOW takes no subquery")
                 rows = rows.where(condition)
             return rows.select(*(["TABLE_SCHEMA", "TABLE_NAME"] if name == "TABLES" else ["SCHEMA_NAME"]))
         if upper[0] in ("DESCRIBE", "DESC"):
@@ -201,53 +233,19 @@ class Session:
             return self.spark.createDataFrame(rows, "COLUMN_NAME string, DATA_TYPE string, IS_NULLABLE boolean")
         raise Rejected(f"{text(parts)[:80]!r} is not supported")
 
-
-def _columns(parts: list[str], i: int) -> int:
-    """How far before i the name of a CTE with a column list stands."""
-    j = i - 1
-    while parts[j] != "(":
-        j -= 1
-    return i - j + 1
-
-
-def _renamed(sql: str, views: dict[tuple[str, ...], str]) -> str:
-    """sql with the tables' names replaced by their views', where a table stands (after FROM, JOIN, TABLE or a comma of such a list)."""
-    parts = tokens(sql)
-    out: list[str] = []
-    i, tables, stack = 0, False, []
-    while i < len(parts):
-        t = parts[i].upper()
-        if parts[i] == "(":
-            stack.append(tables)
-            tables = tables and _begins_table(parts, i)
-        elif parts[i] == ")":
-            tables = stack.pop() if stack else False
-        elif t in ("FROM", "JOIN") or t == "TABLE" and (i == 0 or parts[i - 1] == "("):
-            tables = True
-        elif t in ("WHERE", "GROUP", "ORDER", "HAVING", "ON", "USING", "LIMIT", "SELECT", "UNION", "EXCEPT", "INTERSECT", "WINDOW"):
-            tables = False
-        if tables and i and (out[-1].upper() in ("FROM", "JOIN", ",", "TABLE", "(")) and re.match(r"[A-Za-z_`]", parts[i]):
-            j = i + 1
-            while j + 1 < len(parts) and parts[j] == ".":
-                j += 2
-            key = tuple(p.strip("`").lower() for p in parts[i:j] if p != ".")
-            if key in views and _up_not_call(parts, j):
-                out.append(f"`{views[key]}`")
-                if not (j < len(parts) and (parts[j].upper() == "AS" or re.match(r"[A-Za-z_`]\w*", parts[j]) and parts[j].upper() not in _AFTER)):
-                    out += ["AS", f"`{key[-1]}`"]
-                i = j
-                continue
-        out.append(parts[i])
-        i += 1
-    return text(out)
-
-
-_AFTER = {"WHERE", "GROUP", "ORDER", "HAVING", "ON", "USING", "LIMIT", "UNION", "EXCEPT", "INTERSECT", "WINDOW", "JOIN", "LEFT", "RIGHT", "FULL", "INNER", "CROSS", "NATURAL", "LATERAL", "TABLESAMPLE", "OFFSET", "MINUS", "SEMI", "ANTI"}
-
-
-def _up_not_call(parts: list[str], j: int) -> bool:
-    return j >= len(parts) or parts[j] != "("
-
-
-def _begins_table(parts: list[str], i: int) -> bool:
-    return parts[i - 1].upper() in ("FROM", "JOIN", ",", "(", "LATERAL")
+    def _alter(self, parts: list[str], upper: list[str]) -> DataFrame:
+        """ALTER SESSION SET name = value, ALTER SESSION RESET name | ALL.  Options are this session's own and never Spark's."""
+        if upper[1:2] != ["SESSION"] or len(parts) < 4 or upper[2] not in ("SET", "RESET"):
+            raise Rejected(f"{text(parts)[:80]!r} is not supported")
+        if upper[2] == "RESET":
+            name = "".join(parts[3:]).strip("`\"")
+            self.options = {} if name.upper() == "ALL" else {k: v for k, v in self.options.items() if k != name}
+            return self.spark.createDataFrame([(True, f"{name} reset")], "ok boolean, summary string")
+        at = parts.index("=") if "=" in parts else 0
+        name, value = "".join(parts[3:at]).strip("`\""), "".join(parts[at + 1 :]).strip("'")
+        if not at or not name or not value:
+            raise Rejected(f"{text(parts)[:80]!r} is not supported")
+        if name == "max_rows" and not value.isdigit():
+            raise ValueError(f"max_rows must be a number, not {value!r}")
+        self.options[name] = value
+        return self.spark.createDataFrame([(True, f"{name} updated")], "ok boolean, summary string")

@@ -35,7 +35,7 @@ class Archive:
             return []
         return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory())
 
-    def read(self, spark: SparkSession, metric: Metric, wanted: Intervals, before: int | None = None) -> DataFrame | None:
+    def read(self, spark: SparkSession, metric: Metric, wanted: Intervals, before: int | None = None, radio: bool = False) -> DataFrame | None:
         """Rows of the days that `wanted` meets and that begin before `before`; None if there is none.
 
         Days are pruned inclusively: the exact comparison stays in the plan above.
@@ -45,8 +45,11 @@ class Archive:
             return None
         paths = [f"{self.path(metric)}/{d}" for d in days]
         if self.format == "json":
-            # Schema on read: every name the fields may have, as text.  multiLine reads arrays and lines.
-            return spark.read.option("multiLine", True).option("primitivesAsString", True).json(paths)
+            # Schema on read: every name the fields may have, as text, so nothing is read to infer it (but where
+            # unknown names are asked for).  multiLine reads arrays and lines.
+            reader = spark.read.option("multiLine", True).option("primitivesAsString", True)
+            return reader.json(paths) if radio else reader.schema(schema(metric)).json(paths)
+        # Files of different days may have different columns and types: their footers tell.
         return spark.read.option("mergeSchema", True).parquet(*paths)
 
 
@@ -63,6 +66,6 @@ def _meets(day: str, wanted: Intervals) -> bool:
 
 
 def schema(metric: Metric) -> T.StructType:
-    """Every column a stored row of the metric may have, as text but for the times."""
+    """Every column a stored row of the metric may have, as text."""
     names = [n for f in metric.fields for n in f.inputs()]
-    return T.StructType([T.StructField(ORG, T.StringType()), T.StructField(METRIC, T.StringType()), T.StructField(TIMESTAMP, T.LongType()), *(T.StructField(n, T.StringType()) for n in dict.fromkeys(names))])
+    return T.StructType([T.StructField(ORG, T.StringType()), T.StructField(METRIC, T.StringType()), T.StructField(TIMESTAMP, T.StringType()), *(T.StructField(n, T.StringType()) for n in dict.fromkeys(names))])

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..catalog import Metric
@@ -30,6 +31,17 @@ def window(name: str) -> Window | None:
     return Window(name, int(found[1]), int(found[2])) if found else None
 
 
+def readable(spark: SparkSession, fs, path) -> bool:
+    """Whether the caller may read a table; one that may not is hidden, any other failure is an error."""
+    try:
+        fs.access(path, spark.sparkContext._jvm.org.apache.hadoop.fs.permission.FsAction.READ_EXECUTE)
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() == "AccessControlException":
+            return False
+        raise
+    return True
+
+
 @dataclass
 class Nearline:
     """base: a folder of Parquet tables named like windows; tables: frames by name, instead."""
@@ -50,7 +62,7 @@ class Nearline:
             jvm = spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(self.base)
             fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            names += [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+            names += [s.getPath().getName() for s in fs.listStatus(path) if readable(spark, fs, s.getPath())] if fs.exists(path) else []
         found = [window(n) for n in names if n.startswith(self.prefix) and wanted.fullmatch(n)]
         return sorted((w for w in found if w), key=lambda w: (w.start, w.end))
 
