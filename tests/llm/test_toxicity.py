@@ -97,12 +97,12 @@ def test_against_brute_force(spark):
         a, b = (sum(t in every[i] for i in train if toxic[i] == side) for side in (1, 0))
         share = (a + b) / len(train)
         z = abs(a / n1 - b / n0) / max((share * (1 - share) * (1 / n1 + 1 / n0)) ** 0.5, 1e-9)
-        weight[t] = (1 + np.log((len(items) + 1) / (sum(t in e for e in every) + 1))) * (0.02 + min(max((z - 3) / 3, 0), 1))
-        telling |= {t} if z >= 3 else set()
+        weight[t] = (1 + np.log((len(items) + 1) / (sum(t in e for e in every) + 1))) * min(max((z - 3) / 10, 0), 1)
+        telling |= {t} if z > 3 else set()
 
     def vector(i):
         words = toxicity.WORD.findall((items[i] or "").lower())
-        held = {t: np.log1p(n) * weight[t] for t, n in every[i].items() if t in known}
+        held = {t: np.log1p(n) * weight[t] for t, n in every[i].items() if t in telling}
         held["shared"] = np.log(2 + sum(w not in telling and w[:4] + "*" not in telling for w in words))
         norm = sum(x * x for x in held.values()) ** 0.5
         return {t: x / norm for t, x in held.items()}

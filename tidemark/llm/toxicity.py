@@ -2,13 +2,14 @@
 
 Terms are a text's words (runs of letters, lowered) and their prefixes of PREFIX
 letters.  The examples are a bounded sample of labelled rows (EXAMPLES, those of
-least id hash); every term of theirs is a dimension.  A vector has log(1 + count) *
-idf * relevance: idf from the document frequencies over all documents; relevance is
-FLOOR for a term that tells the examples' classes apart no better than chance, and
-grows to 1 + FLOOR with its z score between the classes (CHANCE to CERTAIN).  One more
-dimension that all texts share is for the words of which no term tells (log(2 + how
-many)), so that the cosine knows how much of a text the telling ones are.  Plain TF-IDF
-(relevance 1) finds neighbours by topic: see the README's figures.
+least id hash).  Every term of theirs that tells the examples' classes apart better
+than chance (a z score over CHANCE, for either class; no limit to their number) is a
+dimension.  A vector has log(1 + count) * idf * relevance: idf from the document
+frequencies over all documents; relevance grows with the z score from 0 at CHANCE to 1
+at CERTAIN.  One more dimension, which all texts share, is for all other words (log(2 +
+how many)), so that the cosine knows how much of a text the telling ones are.  Plain
+TF-IDF (relevance 1 for all terms) finds neighbours by topic, and a small relevance for
+the others costs more time than there is: see the README's figures.
 
 The examples stand in an inverted index: for each term the examples that have it
 and their weights, in blocks of BLOCK examples, with the largest weight of each
@@ -46,7 +47,7 @@ from .minhash import runs
 
 EXAMPLES = 3000
 PREFIX = 4
-FLOOR, CHANCE, CERTAIN = 0.02, 3.0, 6.0
+CHANCE, CERTAIN = 3.0, 13.0
 NEIGHBOURS = 24
 BLOCK = 64
 SOFT = 0.03
@@ -76,18 +77,18 @@ def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
-    """The terms (ascending hashes) and which of them tell; words are looked up once."""
+    """The telling terms (ascending hashes); words are looked up once."""
 
-    def __init__(self, terms: np.ndarray, telling: np.ndarray | None = None) -> None:
-        self.terms, self.telling = terms, np.zeros(len(terms), bool) if telling is None else telling
+    def __init__(self, terms: np.ndarray) -> None:
+        self.terms = terms
         self.place: dict[int, int] | None = None
-        self.known: dict[str, tuple[tuple[int, ...], bool]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "telling": self.telling, "place": None, "known": {}}
+        return {"terms": self.terms, "place": None, "known": {}}
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-        """Places of the text's terms, ascending, how often each occurs (terms that are none of these are left out), and how many words have no telling one."""
+        """Places of the text's terms, ascending, how often each occurs (other terms are left out), and how many words have none."""
         if self.place is None:
             self.place = dict(zip(self.terms.tolist(), range(len(self.terms)), strict=True))
         found: Counter = Counter()
@@ -95,14 +96,13 @@ class Vocabulary:
         for word, n in Counter(WORD.findall(text.lower())).items():
             own = self.known.get(word)
             if own is None:
-                at = tuple(self.place[t] for t in terms_of(word) if t in self.place)
-                own = at, any(self.telling[x] for x in at)
-                if len(self.known) > 300_000:
+                own = tuple(self.place[t] for t in terms_of(word) if t in self.place)
+                if len(self.known) > 100_000:
                     self.known.clear()
                 self.known[word] = own
-            for t in own[0]:
+            for t in own:
                 found[t] += n
-            other += 0 if own[1] else n
+            other += 0 if own else n
         places = np.fromiter(found.keys(), np.int64, len(found))
         order = np.argsort(places)
         return places[order], np.fromiter(found.values(), np.int64, len(found))[order], other
@@ -210,7 +210,7 @@ class Model:
             near, cosine = self.index.nearest(*unit(places, n, other, self.weights))
             raw = self.index.vote(near, cosine)
             found = float(np.clip(np.interp(raw, *self.steps), 0, 1)), [self.index.ids[x] for x in near[self.index.labels[near] == 1][:3]]
-            if len(self.scored) > 50_000:
+            if len(self.scored) > 20_000:
                 self.scored.clear()
             self.scored[key] = found
         return found
@@ -281,9 +281,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     for t, side in zip(terms, toxic.tolist(), strict=True):
         with_term[side][np.searchsorted(every, t)] += 1
     z = scores(with_term[1], with_term[0], int(toxic.sum()), int((~toxic).sum()))
-    vocabulary = Vocabulary(every, z >= CHANCE)
+    every, z = every[z > CHANCE], z[z > CHANCE]
+    vocabulary = Vocabulary(every)
     frequency, n = _frequencies(docs, text_col, vocabulary)
-    weights = (1 + np.log((n + 1) / (frequency + 1))) * (FLOOR + np.clip((z - CHANCE) / (CERTAIN - CHANCE), 0, 1))
+    weights = (1 + np.log((n + 1) / (frequency + 1))) * np.minimum((z - CHANCE) / (CERTAIN - CHANCE), 1)
     held = sample.select("_id", "_text").mapInArrow(counted, f"id {kind}, places binary, n binary, other long").toArrow()
     discard(sample)
     found = sorted(zip(*(held.column(c).to_pylist() for c in ("id", "places", "n", "other")), strict=True), key=lambda r: r[0])
