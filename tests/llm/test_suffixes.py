@@ -37,7 +37,7 @@ def corpus(seed):
     return out
 
 
-@pytest.mark.parametrize("many", [0, 3, 256])
+@pytest.mark.parametrize("many", [0, 256])
 def test_against_brute_force(spark, monkeypatch, many):
     monkeypatch.setattr(suffixes, "MANY", many)
     texts = corpus(many)

@@ -198,14 +198,15 @@ def repeated_windows(texts: list[bytes], order: np.ndarray, span: int = SPAN) ->
 
 
 def _anchored(rows: DataFrame, gram: int) -> DataFrame:
-    """rows: id, v, at, text.  anchor, content, id, v, at (of the first window, from that of the row on), n."""
+    """rows: id, v, text, perhaps base.  anchor, content, id, v, at (of the first window, in the whole text), n, and base."""
+    based = "base" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in runs(batch.column(3), 2 << 20):
+            for low, high in runs(batch.column(2), 2 << 20):
                 part = batch.slice(low, high - low)
-                texts = [x or b"" for x in part.column(3).cast(pa.binary()).to_pylist()]
-                begin = part.column(2).to_numpy()
+                texts = [x or b"" for x in part.column(2).cast(pa.binary()).to_pylist()]
+                begin = part.column(3).to_numpy() if based else np.zeros(len(texts), np.int64)
                 found = []
                 for k, text in enumerate(texts):
                     if len(text) >= SPAN:
@@ -215,9 +216,11 @@ def _anchored(rows: DataFrame, gram: int) -> DataFrame:
                 if found:
                     anchor, content, k, at, n = (np.concatenate(x) for x in zip(*found, strict=True))
                     of = pa.array(k)
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), part.column(0).take(of), part.column(1).take(of), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "content", "id", "v", "at", "n"])
+                    columns = [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), part.column(0).take(of), part.column(1).take(of), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))]
+                    names = ["anchor", "content", "id", "v", "at", "n"]
+                    yield pa.RecordBatch.from_arrays([*columns, part.column(3).take(of)] if based else columns, [*names, "base"] if based else names)
 
-    return rows.select("id", "v", "at", "text").mapInArrow(run, "anchor long, content long, id long, v long, at int, n int")
+    return rows.select("id", "v", "text", *(["base"] if based else [])).mapInArrow(run, "anchor long, content long, id long, v long, at int, n int" + (", base int" if based else ""))
 
 
 def _by_suffixes(sides: DataFrame) -> DataFrame:
@@ -263,22 +266,23 @@ def _by_suffixes(sides: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """docs: id (long, no null), v (long: tells texts of one id apart), text.  id, v, at (of the first window), n: runs of windows that also start earlier."""
-    found, texts, rows = None, docs, docs.select("id", "v", F.lit(0).alias("at"), "text")
+    found, rows = None, docs
     for level, gram in enumerate(GRAMS):
-        copied, single, crowded = _level(texts, rows, gram)
+        copied, single, crowded = _level(rows, gram)
         both = copied.unionByName(single.withColumn("n", F.lit(1)))
         found = both if found is None else found.unionByName(both)
         if level + 1 == len(GRAMS) or crowded.isEmpty():
             return found
         # A class stands for its copies, which are removed whole: what is left are its first segments.
-        rows = crowded.select("id", "v", "at", F.col("seg").alias("text"))
+        rows = crowded.select("id", "v", F.col("at").alias("base"), F.col("seg").alias("text"))
     return found
 
 
-def _level(docs: DataFrame, rows: DataFrame, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of rows (id, v, at, text: stretches of docs' texts): runs that are copies, single windows that are, and the segments (with `seg`) of crowded anchors."""
-    spark = docs.sparkSession
-    keys = ["id", "v", "at"]
+def _level(rows: DataFrame, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows: id, v, text, of stretches of texts also base, where they begin.  Runs that are copies, single windows that are, and the segments (with `seg`) of crowded anchors."""
+    spark = rows.sparkSession
+    of = ["id", "v", *(["base"] if "base" in rows.columns else [])]
+    keys = ["id", "v", "at", *of[2:]]
     own = _anchored(rows, gram)
     often = written(own.groupBy("anchor").agg(F.count("*").alias("rows")).where("rows > 1"))
     release(spark)
@@ -290,12 +294,13 @@ def _level(docs: DataFrame, rows: DataFrame, gram: int) -> tuple[DataFrame, Data
     classes = written(held.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.max("n").alias("n")))
     release(spark)
     again = classes.where("copies > 1").select("anchor", "content", "first", "copies")
-    copied = join_dealt(held, again, ["anchor", "content"], count="copies", total=total, by=keys).where(place != F.col("first")).select(*keys, "n")
+    copied = join_dealt(held, again, ["anchor", "content"], count="copies", total=total, by=keys).where(place != F.col("first")).select("id", "v", "at", "n")
     sharing = written(classes.groupBy("anchor").agg(F.count("*").alias("classes")).where("classes > 1"))
-    parted = classes.select("anchor", F.col("first.id").alias("id"), F.col("first.v").alias("v"), F.col("first.at").alias("at"), "n")
+    parted = classes.select("anchor", *[F.col(f"first.{k}").alias(k) for k in keys], "n")
     shared = join_dealt(parted, sharing, ["anchor"], count="classes", total=classes.count(), by=keys)
-    met = docs.join(shared, ["id", "v"])
-    segs = written(met.select("anchor", "classes", *keys, "n", F.substring(F.col("text").cast("binary"), F.col("at") + 1, F.col("n") + (SPAN - 1)).alias("seg")))
+    met = rows.join(shared, of)
+    begin = F.col("at") - F.col("base") if "base" in of else F.col("at")
+    segs = written(met.select("anchor", "classes", "id", "v", "at", "n", F.substring(F.col("text").cast("binary"), begin + 1, F.col("n") + (SPAN - 1)).alias("seg")))
     discard(sharing)
     release(spark)
     return copied, _by_suffixes(segs.where(F.col("classes") <= MANY)), segs.where(F.col("classes") > MANY)
