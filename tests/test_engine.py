@@ -64,7 +64,14 @@ def test_json_archive(spark, tmp_path):
     folder = tmp_path / "0/json/orgid1/m1/1970-01-01"
     folder.mkdir(parents=True)
     (folder / "a.json").write_text(json.dumps([{"companykey": "orgid1", "metrictype": "m1", "timestamp": 5, "c-1": 3, "uk": "z"}, {"companykey": "orgid1", "metrictype": "m1", "timestamp": 4, "field1": 1, "old1": 2}]))
-    rows = unified(spark, METRIC, archives=(Archive(str(tmp_path), "json"),), radio=True, ordered=True).collect()
+    for day, text in ((2, json.dumps([{"companykey": "orgid1", "metrictype": "m1", "timestamp": DAY + 1, "field1": 7}, {"companykey": "orgid1", "metrictype": "m1", "timestamp": str(DAY + 2), "field1": "8"}], indent=1)), (3, "".join(json.dumps({"companykey": "orgid1", "metrictype": "m1", "timestamp": 2 * DAY + k, "old1": k}) + "\n" for k in range(3)))):
+        other = tmp_path / f"0/json/orgid1/m1/1970-01-0{day}"
+        other.mkdir()
+        (other / "a.json").write_text(text)
+    for radio in (False, True):
+        own = unified(spark, METRIC, archives=(Archive(str(tmp_path), "json"),), radio=radio)
+        assert [r.field1 for r in own.orderBy("timestamp").collect()] == [1, 3, 7, 8, 0, 1, 2]
+    rows = unified(spark, METRIC, archives=(Archive(str(tmp_path), "json"),), radio=True, ordered=True, predicate=("<", "timestamp", DAY)).collect()
     assert [(r.timestamp, r.field1, r["_fm"]) for r in rows] == [(4, 1, {}), (5, 3, {"uk": "z"})]
 
 

@@ -1,23 +1,32 @@
 """Queries over the test tables, each with the DuckDB SQL that gives the same rows.
 
-The unified ones lay events out as stored rows (archive, recent windows, error
-records) and read them back through the engine.
+The unified ones read events through the engine from stores that are laid out as
+files once for each application (archive days, recent windows, the error stream).
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import metadata
 from .catalog import Catalog, Field, Metric
 from .operators.unified import expand, split_key, unified
 from .plans.dialect import translate
+from .plans.intervals import bounds
 from .plans.predicate import column
 from .session import Engine
-from .sources.errors import with_levels
+from .sources import errors
+from .sources.archive import Archive
+from .sources.keys import KeyMapper, choose
 from .sources.nearline import Nearline
+from .streaming.recent import read as stream
+from .streaming.recent import tumbling
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 ORG, DAY = "org0", 86_400_000
@@ -63,31 +72,85 @@ def windows(spark: SparkSession, sf_dir: str, every: int | None = None) -> Nearl
     return out
 
 
-def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    def error_frames(org: str) -> DataFrame:
-        own = events(spark, sf_dir).where("event_type = 'error'")
-        stage = F.when(F.col("event_id") % 2 == 0, "raw").otherwise("staged")
-        path = F.concat(F.lit("x/stream/"), stage, F.lit("/"), F.when(F.col("event_id") % 3 == 0, "malformed").otherwise("error"), F.date_format(F.timestamp_millis("timestamp"), "/yyyy/M/d/"), F.lit("part.json"))
-        rows = own.select(F.col("org").alias("apikey"), "props", F.col("event_id").cast("string").alias("message"), path.alias("_path"))
-        return with_levels(rows.select("apikey", F.col("props").alias("event"), "message", "_path")).where(F.col("apikey") == org)
+def error_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The error events as records with their levels."""
+    own = events(spark, sf_dir).where("event_type = 'error'")
+    stage = F.when(F.col("event_id") % 2 == 0, "raw").otherwise("staged")
+    kind = F.when(F.col("event_id") % 3 == 0, "malformed").otherwise("error")
+    at = F.timestamp_millis("timestamp")
+    return own.select(F.col("org").alias("apikey"), F.col("props").alias("event"), F.col("event_id").cast("string").alias("message"), stage.alias("stage"), kind.alias("type"), F.year(at).alias("year"), F.month(at).alias("month"), F.day(at).alias("day"))
+
+
+_stores: dict[tuple[str, str], str] = {}
+
+
+def stores(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with events laid out once for each application as the stores have them: an archive as Parquet and as
+    JSON, recent windows (one event an item, and hourly items), and the error stream (plain, .gz and .gzip files)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stores:
+        top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        base = f"{top}/stores-{uuid.uuid4().hex}"
+        rows = stored(spark, sf_dir)
+        days = rows.withColumn("_o", F.col("companykey")).withColumn("_d", F.col("_fd0").cast("string")).drop("_fd0").repartition("_o", "_d")
+        for kind in ("parquet", "json"):
+            days.write.partitionBy("_o", "_d").format(kind).save(f"{base}/raw-{kind}")
+            _bare(spark, f"{base}/raw-{kind}", lambda o, d, kind=kind: f"{base}/0/{kind}/{o}/{METRIC.metric_id}/{d}", 2)
+        for every, name in ((None, base), (3_600_000, f"{base}/hourly")):
+            for window, items in windows(spark, sf_dir, every).tables.items():
+                items.write.parquet(f"{name}/{window}")
+        records, levels = error_records(spark, sf_dir), ("stage", "type", "year", "month", "day")
+        for stage, packed in (("raw", "none"), ("staged", "gzip")):
+            own = records.where(F.col("stage") == stage).repartition(*levels)
+            own.write.partitionBy(*levels).option("compression", packed).json(f"{base}/errors-{stage}")
+            _bare(spark, f"{base}/errors-{stage}", lambda *parts: f"{base}/stream/{'/'.join(parts)}", 5, gzip=".gzip")
+        _stores[key] = base
+    return _stores[key]
+
+
+def _bare(spark: SparkSession, folder: str, target: Callable[..., str], depth: int, gzip: str | None = None) -> None:
+    """Move partition folders (name=value) to folders of bare values; .gz files of every other day get another ending."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def walk(at, parts: tuple[str, ...]) -> None:
+        if len(parts) == depth:
+            new = path(target(*parts))
+            fs.mkdirs(new.getParent())
+            fs.rename(at, new)
+            for s in fs.listStatus(new):
+                name = s.getPath().getName()
+                if gzip and name.endswith(".gz") and int(parts[-1]) % 2:
+                    fs.rename(s.getPath(), path(f"{new.toString()}/{name[:-3]}{gzip}"))
+            return
+        for s in fs.listStatus(at):
+            if s.isDirectory():
+                walk(s.getPath(), (*parts, s.getPath().getName().split("=", 1)[1]))
+
+    walk(path(folder), ())
+    fs.delete(path(folder), True)
+
 
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    base = stores(spark, sf_dir)
     catalog = Catalog([METRIC, Metric("org1", "m1", "events", FIELDS)], ("org2",))
-    return Engine(spark, catalog, windows(spark, sf_dir), (stored(spark, sf_dir),), error_frames=error_frames)
+    return Engine(spark, catalog, Nearline(base), (Archive(base),), base)
 
 
 def _unified(predicate: tuple | None = None, **options) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = unified(spark, METRIC, nearline=windows(spark, sf_dir), archives=(stored(spark, sf_dir),), predicate=predicate, **options)
+        base = stores(spark, sf_dir)
+        rows = unified(spark, METRIC, nearline=Nearline(base), archives=(Archive(base),), predicate=predicate, **options)
         return rows.where(column(predicate)).select("timestamp", "event_id", "value")
 
     return run
 
 
-def _tenant(sql: str, **options) -> Callable[[SparkSession, str], DataFrame]:
+def _tenant(sql: str, args: list | None = None, max_rows: int | None = None, **options) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = engine(spark, sf_dir)
         own.radio = options.get("radio", False)
-        return own.session(ORG).sql(sql)
+        return own.session(ORG).sql(sql, args=args, max_rows=max_rows)
 
     return run
 
@@ -108,38 +171,147 @@ _TIMES = {
 
 
 def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = unified(spark, METRIC, nearline=windows(spark, sf_dir), archives=(stored(spark, sf_dir),))
+    base = stores(spark, sf_dir)
+    rows = unified(spark, METRIC, nearline=Nearline(base), archives=(Archive(base),))
     return rows.select("event_id", "late", F.col("kind").cast("string").alias("kind"))
 
 
 def _radio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = unified(spark, METRIC, archives=(stored(spark, sf_dir),), radio=True)
+    rows = unified(spark, METRIC, archives=(Archive(stores(spark, sf_dir)),), radio=True)
     return rows.select("event_id", F.to_json("_fm").alias("_fm"), F.col("_fm")["uk"].alias("uk"))
 
 
+def _archive(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The archive alone: all of its days, with the values that the recent store hides."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = unified(spark, METRIC, archives=(Archive(stores(spark, sf_dir), kind),))
+        return rows.select("timestamp", "event_id", "value", F.col("kind").cast("string").alias("kind"))
+
+    return run
+
+
 def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = unified(spark, METRIC, nearline=windows(spark, sf_dir, 3_600_000))
+    rows = unified(spark, METRIC, nearline=Nearline(f"{stores(spark, sf_dir)}/hourly"))
     return rows.select("timestamp", "event_id", "value")
 
 
+def _all_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recent = Nearline(stores(spark, sf_dir))
+    return reduce(lambda a, b: a.unionByName(b), [recent.read(spark, w) for w in recent.windows(spark)])
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = next(iter(windows(spark, sf_dir).tables.values()))
-    return split_key(items, ("org", "metric"), r"^(org\d)(.*)$").groupBy("org", "metric").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
+    return split_key(_all_items(spark, sf_dir), ("org", "metric"), r"^(org\d)(.*)$").groupBy("org", "metric").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of fixed lengths, by the mapper of the first regex that matches the table's name."""
+    mappers = {"other": KeyMapper("pk", ("x",), lengths=(None,)), "nl_.*": KeyMapper("pk", ("h1", "h2"), lengths=(4, None))}
+    return choose(mappers, "nl_0_1").split(_all_items(spark, sf_dir)).groupBy("h1", "h2").agg(F.count("*").alias("n"))
 
 
 def _pruned_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days that a range of timestamps needs, by a derived date (inclusive), with the exact filter above."""
-    day = lambda ms: F.to_date(F.timestamp_millis(F.lit(ms)))
-    rows = stored(spark, sf_dir).where((F.col("_fd0") >= day(_A)) & (F.col("_fd0") <= day(_A + 2 * DAY)) & (F.col("timestamp") > _A) & (F.col("timestamp") <= _A + 2 * DAY))
-    return rows.groupBy("_fd0").agg(F.count("*").alias("n"))
+    """Of each tenant's archive the days that a range of timestamps needs, with the exact filter above."""
+    where = ("and", (">", "timestamp", _A), ("<=", "timestamp", _A + 2 * DAY))
+    archive = Archive(stores(spark, sf_dir))
+    own = [archive.read(spark, Metric(f"org{i}", METRIC.metric_id, "events"), bounds(where)) for i in range(3)]
+    rows = reduce(lambda a, b: a.unionByName(b), [x for x in own if x is not None]).where(column(where))
+    return rows.groupBy(F.to_date(F.timestamp_millis("timestamp")).alias("_fd0")).agg(F.count("*").alias("n"))
 
 
 def _empty_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items without ids have no event."""
-    items = next(iter(windows(spark, sf_dir).tables.values())).withColumn("ids", F.when(F.col("ts") % 2 == 0, F.col("ids")))
+    items = _all_items(spark, sf_dir).withColumn("ids", F.when(F.col("ts") % 2 == 0, F.col("ids")))
     return expand(items).where("pk like 'org0%'").select(F.col("c2").cast("long").alias("event_id"))
 
 
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recent store's tables as they are found."""
+    found = Nearline(stores(spark, sf_dir)).windows(spark)
+    return spark.createDataFrame([(w.name, w.start, w.end) for w in found], "name string, first long, past long")
+
+
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Archive(stores(spark, sf_dir)).days(spark, METRIC)
+    return spark.createDataFrame([(d,) for d in found], "day string")
+
+
+def _error_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return errors.read(spark, stores(spark, sf_dir), ORG)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first recent window, read as a stream, counted by the day."""
+    recent = Nearline(stores(spark, sf_dir))
+    folder = f"{recent.base}/{recent.windows(spark)[0].name}"
+    made = tumbling(stream(spark, folder, spark.read.parquet(folder).schema, METRIC), "1 day", "1 hour", F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("s"))
+    name = f"daily_{uuid.uuid4().hex}"
+    made.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n", "s")
+
+
+def _rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which statements a tenant may run."""
+    own, rows = engine(spark, sf_dir).session(ORG), []
+    for name, sql in STATEMENTS:
+        try:
+            own.check(sql)
+            rows.append((name, True))
+        except ValueError:
+            rows.append((name, False))
+    return spark.createDataFrame(rows, "statement string, allowed boolean")
+
+
+STATEMENTS = [
+    ("query", "SELECT count(*) FROM events"),
+    ("qualified", "SELECT count(*) FROM tidemark.org0.events"),
+    ("with", "WITH t AS (SELECT 1 AS x) SELECT x FROM t"),
+    ("other tenant", "SELECT * FROM tidemark.org1.events"),
+    ("unknown", "SELECT * FROM nothing"),
+    ("file", "SELECT * FROM parquet.`/tmp`"),
+    ("outside of the with", "SELECT s.x FROM t s, (WITH t AS (SELECT 1 AS x) SELECT x FROM t) u"),
+    ("window name", "SELECT row_number() OVER t AS n FROM t WINDOW t AS (ORDER BY x)"),
+    ("insert", "INSERT INTO events SELECT 1"),
+    ("delete", "DELETE FROM events"),
+    ("update", "UPDATE events SET value = 1"),
+    ("merge", "MERGE INTO events a USING events b ON a.event_id = b.event_id WHEN MATCHED THEN DELETE"),
+    ("create", "CREATE TABLE x AS SELECT 1"),
+    ("set", "SET spark.sql.ansi.enabled=false"),
+    ("reflect", "SELECT reflect('java.lang.System', 'nanoTime')"),
+]
+
+
+def _orgs_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, own = [], engine(spark, sf_dir)
+    for given in ({"COMPANY_KEY": ORG}, {"COMPANY_KEY": "nobody"}, {}, {"COMPANY_KEY": "", "user": ORG}):
+        try:
+            rows.append((len(rows), own.session(given).org))
+        except ValueError:
+            rows.append((len(rows), None))
+    return spark.createDataFrame(rows, "k int, org string")
+
+
+def _as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A client's encoded query, its result as JSON lines, read again."""
+    rows = engine(spark, sf_dir).session(ORG).rows("%22SELECT+event_id%2C+value+FROM+events+WHERE+value+%3E+60%22")
+    lines = [(json.dumps(r),) for r in rows]
+    return spark.createDataFrame(lines, "line string").select(F.from_json("line", "event_id long, value double").alias("r")).select("r.*")
+
+
+def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = engine(spark, sf_dir).session(ORG).sql("EXPLAIN PLAN FOR SELECT count(*) AS n FROM events")
+    return plan.select(F.col("plan").contains("Scan").alias("scans"), F.col("plan").contains("HashAggregate").alias("sums"))
+
+
+def _metadata(make: Callable, **patterns: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: metadata.matching(make(spark, engine(spark, sf_dir).catalog, ORG), **patterns)
+
+
+def _repeated_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain("SELECT *, r_name, * FROM region")(spark, sf_dir).toDF("a", "b", "f", "c", "d")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenant's metric between two times, across the archive and the recent store."""
     return _unified(_TIMES["time_range_filter"][0], ordered=True)(spark, sf_dir)
@@ -202,7 +374,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "first_last": ("SELECT o_orderkey, first_value(o_orderkey) OVER w AS f, last_value(o_orderkey) OVER w AS l FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", None),
     "rows_frame": ("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS s FROM events", None),
     "range_frame": ("SELECT o_orderkey, count(*) OVER (PARTITION BY o_orderpriority ORDER BY o_custkey RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS n FROM orders", None),
-    "disallow_partial": ("SELECT event_id, CASE WHEN count(*) OVER w = 3 THEN round(avg(value) OVER w, 6) END AS a FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING)", None),
+    "disallow_partial": ("SELECT event_id, round(avg(value) OVER w, 6) AS a, sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING DISALLOW PARTIAL) AS b, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 1 PRECEDING ALLOW PARTIAL) AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING DISALLOW PARTIAL)", "SELECT event_id, CASE WHEN count(*) OVER w = 3 THEN round(avg(value) OVER w, 6) END AS a, CAST(CASE WHEN count(*) OVER v = 3 THEN sum(event_id) OVER v END AS BIGINT) AS b, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 1 PRECEDING) AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING), v AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"),
     "lead_lag_ntile": ("SELECT event_id, lead(event_id) OVER w AS a, lag(event_id, 2) OVER w AS b, CAST(ntile(4) OVER w AS BIGINT) AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)", None),
     # order, limits, sets
     "topk": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", None),
@@ -228,10 +400,19 @@ SQL: dict[str, tuple[str, str | None]] = {
     "cast_matrix": ("SELECT CAST('12' AS INTEGER) AS a, CAST(3.7 AS DOUBLE) AS b, CAST(12 AS VARCHAR(5)) AS c, CAST('2024-02-03' AS DATE) AS d, CAST(1 AS BOOLEAN) AS e, CAST(5 AS SMALLINT) AS f, CAST(6 AS TINYINT) AS g, CAST(1.25 AS DECIMAL(5, 2)) AS h", None),
     "jdbc_escapes": ("SELECT {fn upper(r_name)} AS a, {d '2024-01-02'} AS d, {ts '2024-01-02 03:04:05'} > {ts '2024-01-01 00:00:00'} AS t FROM region", "SELECT upper(r_name) AS a, DATE '2024-01-02' AS d, TRUE AS t FROM region"),
     "collections": ("SELECT n_name, CARDINALITY(ARRAY[n_nationkey, 1]) AS c, ELEMENT(ARRAY[n_nationkey]) AS e, ROW(n_name, 1).n_name AS r FROM nation", "SELECT n_name, 2 AS c, n_nationkey AS e, n_name AS r FROM nation"),
-    "array_query": ("SELECT array_join(sort_array((SELECT collect_list(r_name) FROM region)), ',') AS a", "SELECT string_agg(r_name, ',' ORDER BY r_name) AS a FROM region"),
+    "array_query": ("SELECT array_join(sort_array(ARRAY(SELECT r_name FROM region)), ',') AS a, size(MULTISET(SELECT NULLIF(n_regionkey, 0) FROM nation)) AS m, MAP(SELECT r_regionkey, r_name FROM region)[2] AS r", "SELECT string_agg(r_name, ',' ORDER BY r_name) AS a, (SELECT CAST(count(*) AS INTEGER) FROM nation) AS m, max(r_name) FILTER (WHERE r_regionkey = 2) AS r FROM region"),
+    "multiset_all": ("SELECT n_name, array_join(transform(MULTISET[1, 1, n_regionkey, 2] MULTISET EXCEPT ALL MULTISET[1, 2], x -> CAST(x AS STRING)), ',') AS e, size(MULTISET[1, 1, n_regionkey] MULTISET INTERSECT ALL MULTISET[1, 1, 3]) AS i FROM nation", "SELECT n_name, CASE n_regionkey WHEN 2 THEN '1,2' ELSE '1,' || n_regionkey END AS e, CASE WHEN n_regionkey = 3 THEN 3 ELSE 2 END AS i FROM nation"),
+    "table_function": ("SELECT id FROM TABLE(range(3)) AS t(id)", "SELECT CAST(x AS BIGINT) AS id FROM (VALUES (0), (1), (2)) AS t(x)"),
+    "extend_columns": ("SELECT r_name, x, y FROM region EXTEND (x INTEGER, y VARCHAR(9)) WHERE x IS NULL", "SELECT r_name, CAST(NULL AS INTEGER) AS x, CAST(NULL AS VARCHAR) AS y FROM region"),
+    "collate": ("SELECT r_name FROM region WHERE lower(r_name) COLLATE UTF8_LCASE = upper(r_name) COLLATE UTF8_LCASE", "SELECT r_name FROM region"),
+    "current_times": ("SELECT CURRENT_DATE = CAST(CURRENT_TIMESTAMP AS DATE) AS a, LOCALTIMESTAMP IS NOT NULL AS b, CURRENT_ROLE || CURRENT_PATH AS c", "SELECT TRUE AS a, TRUE AS b, '' AS c"),
+    "literals": ("SELECT U&'\\00e9t\\00e9 \\\\' AS a, _UTF8'x' AS b, DATE '2024-01-02' AS c, CAST(1.5e2 AS DOUBLE) AS d, X'4142' = CAST('AB' AS BINARY) AS e, INTERVAL '2' DAY > INTERVAL '1' DAY AS f, {t '10:11:12'} > {t '09:00:00'} AS g, TIMESTAMP_NTZ '2024-01-02 03:04:05' AS h, CAST(INTERVAL '1-2' YEAR TO MONTH AS STRING) <> '' AS i", "SELECT chr(233) || 't' || chr(233) || ' ' || chr(92) AS a, 'x' AS b, DATE '2024-01-02' AS c, CAST(150 AS DOUBLE) AS d, TRUE AS e, TRUE AS f, TRUE AS g, TIMESTAMP '2024-01-02 03:04:05' AS h, TRUE AS i"),
+    "any_function": ("SELECT n_name, reverse(n_name) AS a, repeat(n_name, 2) AS b, greatest(1, n_regionkey) AS c, lpad(n_name, 12, '*') AS d FROM nation", None),
+    "extract_time": ("SELECT event_id, CAST(EXTRACT(MINUTE FROM ts) AS BIGINT) AS m, CAST(floor(EXTRACT(SECOND FROM ts)) AS BIGINT) AS s FROM events", "SELECT event_id, minute(ts) AS m, second(ts) AS s FROM events"),
+    "tablesample": ("SELECT count(*) BETWEEN 0.05 * (SELECT count(*) FROM orders) AND 0.15 * (SELECT count(*) FROM orders) AS fits FROM orders TABLESAMPLE BERNOULLI (10) REPEATABLE (7)", "SELECT TRUE AS fits"),
     "json_props": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
     "to_date_ms": ("SELECT event_id, to_date(timestamp_millis(unix_millis(CAST(ts AS TIMESTAMP)))) AS d FROM events", "SELECT event_id, CAST(ts AS DATE) AS d FROM events"),
-    "base64_decode": ("SELECT event_id, CAST(unbase64(base64(CAST(event_type AS BINARY))) AS STRING) AS s FROM events", "SELECT event_id, event_type AS s FROM events"),
+    "base64_decode": ("SELECT event_id, CAST(tidemark_base64_decode(base64(CAST(event_type AS BINARY))) AS STRING) AS s FROM events", "SELECT event_id, event_type AS s FROM events"),
 }
 
 #: Over a tenant's session: SQL, and the rows by DuckDB (None: rows alone are checked).
@@ -241,12 +422,19 @@ TENANT: dict[str, tuple[str, str | None]] = {
     "session_join": ("SELECT a.event_id FROM events a JOIN tidemark.org0.events b ON a.event_id = b.event_id AND b.value < 20", f"SELECT event_id FROM {OWN} WHERE value < 20"),
     "session_group": ("WITH d AS (SELECT timestamp - timestamp % 86400000 AS day, value FROM events) SELECT day, count(*) AS n, round(sum(value), 4) AS s FROM d GROUP BY day", f"SELECT timestamp - timestamp % 86400000 AS day, count(*) AS n, round(sum(value), 4) AS s FROM {OWN} GROUP BY 1"),
     "error_stream": ("SELECT stage, type, year, month, day, count(*) AS n FROM errors.stream WHERE stage = 'raw' OR type = 'malformed' GROUP BY stage, type, year, month, day", f"SELECT CASE WHEN event_id % 2 = 0 THEN 'raw' ELSE 'staged' END AS stage, CASE WHEN event_id % 3 = 0 THEN 'malformed' ELSE 'error' END AS type, CAST(year(ts) AS VARCHAR) AS year, CAST(month(ts) AS VARCHAR) AS month, CAST(day(ts) AS VARCHAR) AS day, count(*) AS n FROM {OWN} WHERE event_type = 'error' AND (event_id % 2 = 0 OR event_id % 3 = 0) GROUP BY ALL"),
-    "information_schema_tables": ("SELECT TABLE_SCHEMA, TABLE_NAME FROM INFORMATION_SCHEMA.`TABLES`", None),
+    "sql_time_prune": (f"SELECT event_id, value FROM events WHERE timestamp >= {_A} AND timestamp < {_B}", f"SELECT event_id, value FROM {OWN} WHERE timestamp >= {_A} AND timestamp < {_B}"),
+    "sql_time_or": (f"SELECT a.event_id FROM (SELECT * FROM events) a WHERE timestamp < {_A} OR timestamp IN ({_B}, {_B + DAY}) OR timestamp >= {_B + 5 * DAY}", f"SELECT event_id FROM {OWN} WHERE timestamp < {_A} OR timestamp IN ({_B}, {_B + DAY}) OR timestamp >= {_B + 5 * DAY}"),
+    "sql_time_arithmetic": (f"SELECT event_id FROM events WHERE timestamp % 1000 < 500 AND timestamp + {DAY} > {_B} AND abs(timestamp - {_B}) < {9 * DAY}", f"SELECT event_id FROM {OWN} WHERE timestamp % 1000 < 500 AND timestamp + {DAY} > {_B} AND abs(timestamp - {_B}) < {9 * DAY}"),
+    "sql_error_levels": ("SELECT message, day FROM errors.stream WHERE stage = 'staged' AND day IN ('3', '17') AND type <> 'malformed'", f"SELECT CAST(event_id AS VARCHAR) AS message, CAST(day(ts) AS VARCHAR) AS day FROM {OWN} WHERE event_type = 'error' AND event_id % 2 = 1 AND day(ts) IN (3, 17) AND event_id % 3 <> 0"),
+    "context_functions": ("SELECT DISTINCT SESSION_USER AS a, CURRENT_USER AS b, USER AS c, CURRENT_CATALOG AS d, CURRENT_SCHEMA AS e, CURRENT_ROLE AS f FROM events", "SELECT 'org0' AS a, 'org0' AS b, 'org0' AS c, 'tidemark' AS d, 'tidemark.org0' AS e, '' AS f"),
+    "use_schema": ("USE elsewhere", "SELECT TRUE AS ok, 'tidemark.org0' AS summary"),
+    "alter_session": ("ALTER SESSION SET `planner.width` = 3", "SELECT TRUE AS ok, 'planner.width updated' AS summary"),
+    "information_schema_tables": ("SELECT TABLE_SCHEMA, TABLE_NAME FROM INFORMATION_SCHEMA.`TABLES`", "SELECT * FROM (VALUES ('INFORMATION_SCHEMA', 'CATALOGS'), ('INFORMATION_SCHEMA', 'COLUMNS'), ('INFORMATION_SCHEMA', 'SCHEMATA'), ('INFORMATION_SCHEMA', 'TABLES'), ('INFORMATION_SCHEMA', 'VIEWS'), ('ERRORS', 'stream'), ('TIDEMARK', 'events')) AS t(\"TABLE_SCHEMA\", \"TABLE_NAME\")"),
+    "information_schema_schemata": ("SELECT CATALOG_NAME, SCHEMA_NAME, IS_MUTABLE FROM INFORMATION_SCHEMA.SCHEMATA", "SELECT 'TIDEMARK' AS \"CATALOG_NAME\", n AS \"SCHEMA_NAME\", 'NO' AS \"IS_MUTABLE\" FROM (VALUES ('INFORMATION_SCHEMA'), ('ERRORS'), ('TIDEMARK')) AS t(n)"),
     "information_schema_columns": ("SELECT COLUMN_NAME, ORDINAL_POSITION, DATA_TYPE FROM INFORMATION_SCHEMA.`COLUMNS` WHERE TABLE_NAME = 'events'", "SELECT * FROM (VALUES ('timestamp', 1, 'BIGINT'), ('value', 2, 'DOUBLE'), ('event_id', 3, 'BIGINT'), ('kind', 4, 'BINARY VARYING'), ('late', 5, 'VARCHAR')) AS t(\"COLUMN_NAME\", \"ORDINAL_POSITION\", \"DATA_TYPE\")"),
     "show_tables": ("SHOW TABLES IN tidemark LIKE 'e%'", "SELECT 'TIDEMARK' AS \"TABLE_SCHEMA\", 'events' AS \"TABLE_NAME\""),
-    "show_schemas": ("SHOW SCHEMAS", None),
-    "describe_table": ("DESCRIBE events '%e%'", None),
-    "explain_plan": ("EXPLAIN PLAN FOR SELECT count(*) AS n FROM events", None),
+    "show_schemas": ("SHOW SCHEMAS", "SELECT n AS \"SCHEMA_NAME\" FROM (VALUES ('INFORMATION_SCHEMA'), ('ERRORS'), ('TIDEMARK')) AS t(n)"),
+    "describe_table": ("DESCRIBE events '%e%'", "SELECT * FROM (VALUES ('timestamp', 'bigint', TRUE), ('value', 'double', TRUE), ('event_id', 'bigint', TRUE), ('late', 'string', TRUE)) AS t(\"COLUMN_NAME\", \"DATA_TYPE\", \"IS_NULLABLE\")"),
 }
 
 
@@ -259,22 +447,69 @@ def _plain(sql: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def _tablesample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain("SELECT o_orderkey FROM orders TABLESAMPLE BERNOULLI (10) REPEATABLE (7)")(spark, sf_dir)
+def _key_value(table: str, where: str, *columns: str, sort: str | None = "l_linenumber", key: str = "l_orderkey") -> Callable[[SparkSession, str], DataFrame]:
+    """A read through the key-value source.  Its Python reader opens the path itself: local folders only."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .sources.kv import register
+
+        register(spark)
+        reader = spark.read.format("kv").option("path", f"{sf_dir}/{table}.parquet").option("hash", key)
+        return (reader.option("sort", sort) if sort else reader).load().where(where).selectExpr(*columns)
+
+    return run
 
 
-def _key_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A range of one key's rows through the key-value source.  Its Python reader opens the path itself: local folders only."""
-    from .sources.kv import register
+_LINE = ("l_orderkey", "l_linenumber", "l_quantity")
+#: Reads of the key-value source: table, condition, columns, key and sort.
+KEY_VALUE: dict[str, tuple] = {
+    "kv_query": ("lineitem", "l_orderkey = 7 AND l_linenumber >= 2", _LINE, "l_orderkey", "l_linenumber"),
+    "kv_get": ("lineitem", "l_orderkey = 7 AND l_linenumber = 2", _LINE, "l_orderkey", "l_linenumber"),
+    "kv_get_hash": ("customer", "c_custkey = 42", ("c_custkey", "c_name"), "c_custkey", None),
+    "kv_scan": ("lineitem", "l_quantity > 45 AND l_returnflag IN ('A', 'R') AND l_linestatus <> 'O'", _LINE, "l_orderkey", "l_linenumber"),
+    "kv_null_tests": ("customer", "c_name IS NOT NULL AND c_acctbal < 0 OR c_mktsegment IS NULL", ("c_custkey",), "c_custkey", None),
+    "kv_like_residual": ("part", "p_name LIKE '%a%' AND p_size > 10 AND p_type NOT LIKE 'S%'", ("p_partkey", "p_name"), "p_partkey", None),
+    "kv_between": ("lineitem", "l_orderkey = 7 AND l_linenumber BETWEEN 2 AND 4 AND l_linenumber >= 1 AND l_quantity BETWEEN 1 AND 40", _LINE, "l_orderkey", "l_linenumber"),
+    "kv_or": ("lineitem", "(l_orderkey = 7 OR l_orderkey = 9 AND l_linenumber > 1) AND l_quantity > 2", _LINE, "l_orderkey", "l_linenumber"),
+    "kv_list_index": ("embeddings", "label >= 0", ("vec_id", "CAST(embedding[2] AS DOUBLE) AS x"), "vec_id", None),
+}
 
-    register(spark)
-    rows = spark.read.format("kv").option("path", f"{sf_dir}/lineitem.parquet").option("hash", "l_orderkey").option("sort", "l_linenumber").load()
-    return rows.where("l_orderkey = 7 AND l_linenumber >= 2").select("l_orderkey", "l_linenumber", "l_quantity")
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicate tree as a condition."""
+    where = ("or", ("and", (">=", "p_size", 10), ("not", ("=", "p_brand", "Brand#11")), ("like", "p_name", "%a%")), ("<", 3, "p_size"), ("is null", "p_name"))
+    return table(spark, sf_dir, "part").where(column(where)).select("p_partkey")
+
+
+#: Others: a query, and its SQL.
+OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "archive_parquet": (_archive("parquet"), f"SELECT timestamp, event_id, CASE WHEN timestamp < {BOUNDARY} THEN value ELSE -1 END AS value, event_type AS kind FROM {OWN}"),
+    "archive_json": (_archive("json"), f"SELECT timestamp, event_id, CASE WHEN timestamp < {BOUNDARY} THEN value ELSE -1 END AS value, event_type AS kind FROM {OWN}"),
+    "archive_days": (_days, f"SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day FROM {OWN}"),
+    "error_files": (_error_files, f"SELECT 'org0' AS apikey, props AS event, CAST(event_id AS VARCHAR) AS message, CASE WHEN event_id % 2 = 0 THEN 'raw' ELSE 'staged' END AS stage, CASE WHEN event_id % 3 = 0 THEN 'malformed' ELSE 'error' END AS type, CAST(year(ts) AS VARCHAR) AS year, CAST(month(ts) AS VARCHAR) AS month, CAST(day(ts) AS VARCHAR) AS day, CAST(NULL AS VARCHAR) AS hour FROM {OWN} WHERE event_type = 'error'"),
+    "nearline_windows": (_windows, f"SELECT 'nl_' || f || '_' || (f + {WEEK}) AS name, f AS first, f + {WEEK} AS past FROM (SELECT {BOUNDARY} + k * {WEEK} AS f FROM (VALUES (0), (1), (2)) AS t(k)) AS u"),
+    "key_mapper": (_mapped, f"SELECT 'org' || (user_id % 3) AS h1, 'm-events' AS h2, count(DISTINCT {EPOCH}) AS n FROM events WHERE {EPOCH} >= {BOUNDARY} GROUP BY 1"),
+    "stream_daily": (_streamed, f"SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 4) AS s FROM {OWN} WHERE timestamp >= {BOUNDARY} AND timestamp < {BOUNDARY + WEEK} GROUP BY 1"),
+    "statements_allowed": (_rejections, "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {'TRUE' if n in ('query', 'qualified', 'with') else 'FALSE'})" for n, _ in STATEMENTS) + ") AS t(statement, allowed)"),
+    "tenants_allowed": (_orgs_allowed, "SELECT * FROM (VALUES (0, 'org0'), (1, NULL), (2, NULL), (3, NULL)) AS t(k, org)"),
+    "json_rows": (_as_json, f"SELECT event_id, value FROM {OWN} WHERE value > 60"),
+    "explain_plan": (_explained, "SELECT TRUE AS scans, TRUE AS sums"),
+    "max_rows": (_tenant("SELECT event_id FROM events ORDER BY event_id", max_rows=5), f"SELECT event_id FROM {OWN} ORDER BY event_id LIMIT 5"),
+    "dynamic_params": (_tenant("SELECT event_id, value FROM events WHERE value > ? AND timestamp < ?", args=[50.0, BOUNDARY]), f"SELECT event_id, value FROM {OWN} WHERE value > 50 AND timestamp < {BOUNDARY}"),
+    "extend_unknown": (_tenant("SELECT event_id, uk FROM events EXTEND (uk VARCHAR(20)) WHERE value > 20", radio=True), f"SELECT event_id, CASE WHEN timestamp < {BOUNDARY} THEN json_extract_string(props, '$.k') END AS uk FROM {OWN} WHERE value > 20"),
+    "table_types": (_metadata(metadata.table_types), "SELECT t AS \"TABLE_TYPE\" FROM (VALUES ('TABLE'), ('VIEW')) AS x(t)"),
+    "type_info": (_metadata(metadata.type_info), "SELECT * FROM (VALUES ('VARCHAR', 12, TRUE), ('BOOLEAN', 16, FALSE), ('BINARY VARYING', -3, FALSE), ('INTEGER', 4, FALSE), ('BIGINT', -5, FALSE), ('FLOAT', 6, FALSE), ('DOUBLE', 8, FALSE)) AS t(\"TYPE_NAME\", \"DATA_TYPE\", \"QUOTED\")"),
+    "metadata_patterns": (_metadata(metadata.columns, table_name="ev%", column_name="%\\_id"), "SELECT 'TIDEMARK' AS \"TABLE_CATALOG\", 'TIDEMARK' AS \"TABLE_SCHEMA\", 'events' AS \"TABLE_NAME\", 'event_id' AS \"COLUMN_NAME\", 3 AS \"ORDINAL_POSITION\", 'BIGINT' AS \"DATA_TYPE\""),
+    "repeated_star": (_repeated_star, "SELECT r_regionkey AS a, r_name AS b, r_name AS f, r_regionkey AS c, r_name AS d FROM region"),
+    "predicate_tree": (_tree, "SELECT p_partkey FROM part WHERE p_size >= 10 AND NOT p_brand = 'Brand#11' AND p_name LIKE '%a%' OR 3 < p_size OR p_name IS NULL"),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _unified(p) for k, (p, _) in _TIMES.items()}
-    out |= {"nearline_wins_overlap": _unified(("=", "value", -1.0)), "ts_sorted": _unified(ordered=True), "late_and_bytes": _late, "unknown_fields_map": _radio, "multi_event_expand": _expanded, "null_ids": _empty_items, "key_split": _items, "day_prune": _pruned_days, "tablesample": _tablesample, "kv_query": _key_value}
+    out |= {"nearline_wins_overlap": _unified(("=", "value", -1.0)), "ts_sorted": _unified(ordered=True), "late_and_bytes": _late, "unknown_fields_map": _radio, "multi_event_expand": _expanded, "null_ids": _empty_items, "key_split": _items, "day_prune": _pruned_days}
+    out |= {k: _key_value(t, where, *columns, key=key, sort=sort) for k, (t, where, columns, key, sort) in KEY_VALUE.items()}
+    out |= {k: query for k, (query, _) in OTHER.items()}
     out |= {k: _plain(sql) for k, (sql, _) in SQL.items()}
     return out | {k: _tenant(sql) for k, (sql, _) in TENANT.items()}
 
@@ -288,10 +523,12 @@ def oracle_sql() -> dict[str, str]:
         "late_and_bytes": f"SELECT event_id, CAST(NULL AS VARCHAR) AS late, event_type AS kind FROM {OWN}",
         "unknown_fields_map": f"SELECT event_id, '{{\"uk\":\"' || json_extract_string(props, '$.k') || '\"}}' AS _fm, json_extract_string(props, '$.k') AS uk FROM {OWN}",
         "multi_event_expand": f"SELECT {hour} AS timestamp, event_id, value FROM events WHERE user_id % 3 = 0 AND {EPOCH} >= {BOUNDARY}",
-        "null_ids": f"SELECT event_id FROM {OWN} WHERE timestamp >= {BOUNDARY} AND timestamp < {BOUNDARY + WEEK} AND timestamp % 2 = 0",
-        "key_split": f"SELECT 'org' || (user_id % 3) AS org, 'm-events' AS metric, count(DISTINCT {EPOCH}) AS n, min({EPOCH}) AS first_ts FROM events WHERE {EPOCH} >= {BOUNDARY} AND {EPOCH} < {BOUNDARY + WEEK} GROUP BY 1",
+        "null_ids": f"SELECT event_id FROM {OWN} WHERE timestamp >= {BOUNDARY} AND timestamp % 2 = 0",
+        "key_split": f"SELECT 'org' || (user_id % 3) AS org, 'm-events' AS metric, count(DISTINCT {EPOCH}) AS n, min({EPOCH}) AS first_ts FROM events WHERE {EPOCH} >= {BOUNDARY} GROUP BY 1",
         "day_prune": f"SELECT CAST(ts AS DATE) AS _fd0, count(*) AS n FROM events WHERE {EPOCH} > {_A} AND {EPOCH} <= {_A + 2 * DAY} GROUP BY 1",
-        "kv_query": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey = 7 AND l_linenumber >= 2",
     }
+    out |= {k: f"SELECT {', '.join(columns)} FROM {t} WHERE {where}" for k, (t, where, columns, _, _) in KEY_VALUE.items()}
+    out["kv_list_index"] = "SELECT vec_id, CAST(embedding[3] AS DOUBLE) AS x FROM embeddings WHERE label >= 0"
+    out |= {k: sql for k, (_, sql) in OTHER.items()}
     out |= {k: other or sql for k, (sql, other) in SQL.items()}
     return out | {k: other for k, (_, other) in TENANT.items() if other}

@@ -46,13 +46,39 @@ class Archive:
         paths = [f"{self.path(metric)}/{d}" for d in days]
         if self.format == "json":
             # Schema on read: every name the fields may have, as text, so nothing is read to infer it (but where
-            # unknown names are asked for).  multiLine reads arrays and lines.
-            reader = spark.read.option("multiLine", True).option("primitivesAsString", True)
-            return reader.json(paths) if radio else reader.schema(schema(metric)).json(paths)
+            # unknown names are asked for).  Rows or arrays of rows in a line can be split; days whose files are
+            # laid out over lines cannot.
+            spread = [p for p in paths if _spread(spark, p)]
+            lines = [p for p in paths if p not in spread]
+            frames = []
+            for own, multi in ((lines, False), (spread, True)):
+                if own:
+                    reader = spark.read.option("multiLine", multi).option("primitivesAsString", True)
+                    frames.append(reader.json(own) if radio else reader.schema(schema(metric)).json(own))
+            return frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1], allowMissingColumns=True)
         # Files of different days may have different columns and types: their footers tell.
         return spark.read.option("mergeSchema", True).parquet(*paths)
 
 
+def _spread(spark: SparkSession, folder: str) -> bool:
+    """Whether a day's JSON is laid out over lines: its first file's first line begins a value and does not end it."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in fs.listStatus(path) if s.isFile() and s.getLen() and not s.getPath().getName().startswith(("_", "."))]
+    if not names:
+        return False
+    buffer = gateway.new_array(gateway.jvm.byte, 256)
+    file = fs.open(min(names, key=lambda n: n.toString()))
+    try:
+        n = file.read(buffer)
+    finally:
+        file.close()
+    head = bytes(x & 0xFF for x in list(buffer)[: max(n, 0)]).lstrip()
+    line, end, _ = head.partition(b"\n")
+    return bool(end) and line.rstrip() in (b"[", b"{", b"[{")
+
+
 def _start(day: str) -> int:
     try:
         return int(dt.datetime.fromisoformat(day).replace(tzinfo=dt.UTC).timestamp() * 1000)
