@@ -403,7 +403,7 @@ SQL: dict[str, tuple[str, str | None]] = {
     "array_query": ("SELECT array_join(sort_array(ARRAY(SELECT r_name FROM region)), ',') AS a, size(MULTISET(SELECT NULLIF(n_regionkey, 0) FROM nation)) AS m, MAP(SELECT r_regionkey, r_name FROM region)[2] AS r", "SELECT string_agg(r_name, ',' ORDER BY r_name) AS a, (SELECT CAST(count(*) AS INTEGER) FROM nation) AS m, max(r_name) FILTER (WHERE r_regionkey = 2) AS r FROM region"),
     "multiset_all": ("SELECT n_name, array_join(transform(MULTISET[1, 1, n_regionkey, 2] MULTISET EXCEPT ALL MULTISET[1, 2], x -> CAST(x AS STRING)), ',') AS e, size(MULTISET[1, 1, n_regionkey] MULTISET INTERSECT ALL MULTISET[1, 1, 3]) AS i FROM nation", "SELECT n_name, CASE n_regionkey WHEN 2 THEN '1,2' ELSE '1,' || n_regionkey END AS e, CASE WHEN n_regionkey = 3 THEN 3 ELSE 2 END AS i FROM nation"),
     "table_function": ("SELECT id FROM TABLE(range(3)) AS t(id)", "SELECT CAST(x AS BIGINT) AS id FROM (VALUES (0), (1), (2)) AS t(x)"),
-    "extend_columns": ("SELECT r_name, x, y FROM region EXTEND (x INTEGER, y VARCHAR(9)) WHERE x IS NULL", "SELECT r_name, CAST(NULL AS INTEGER) AS x, CAST(NULL AS VARCHAR) AS y FROM region"),
+    "extend_columns": ("SELECT r_name, COALESCE(x, -1) AS x, COALESCE(y, 'none') AS y FROM region EXTEND (x INTEGER, y VARCHAR(9)) WHERE x IS NULL", "SELECT r_name, -1 AS x, 'none' AS y FROM region"),
     "collate": ("SELECT r_name FROM region WHERE lower(r_name) COLLATE UTF8_LCASE = upper(r_name) COLLATE UTF8_LCASE", "SELECT r_name FROM region"),
     "current_times": ("SELECT CURRENT_DATE = CAST(CURRENT_TIMESTAMP AS DATE) AS a, LOCALTIMESTAMP IS NOT NULL AS b, CURRENT_ROLE || CURRENT_PATH AS c", "SELECT TRUE AS a, TRUE AS b, '' AS c"),
     "literals": ("SELECT U&'\\00e9t\\00e9 \\\\' AS a, _UTF8'x' AS b, DATE '2024-01-02' AS c, CAST(1.5e2 AS DOUBLE) AS d, X'4142' = CAST('AB' AS BINARY) AS e, INTERVAL '2' DAY > INTERVAL '1' DAY AS f, {t '10:11:12'} > {t '09:00:00'} AS g, TIMESTAMP_NTZ '2024-01-02 03:04:05' AS h, CAST(INTERVAL '1-2' YEAR TO MONTH AS STRING) <> '' AS i", "SELECT chr(233) || 't' || chr(233) || ' ' || chr(92) AS a, 'x' AS b, DATE '2024-01-02' AS c, CAST(150 AS DOUBLE) AS d, TRUE AS e, TRUE AS f, TRUE AS g, TIMESTAMP '2024-01-02 03:04:05' AS h, TRUE AS i"),

@@ -62,19 +62,16 @@ class Archive:
 
 def _spread(spark: SparkSession, folder: str) -> bool:
     """Whether a day's JSON is laid out over lines: its first file's first line begins a value and does not end it."""
-    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = [s.getPath() for s in fs.listStatus(path) if s.isFile() and s.getLen() and not s.getPath().getName().startswith(("_", "."))]
     if not names:
         return False
-    buffer = gateway.new_array(gateway.jvm.byte, 256)
     file = fs.open(min(names, key=lambda n: n.toString()))
     try:
-        n = file.read(buffer)
+        head = bytes(file.readNBytes(256)).lstrip()
     finally:
         file.close()
-    head = bytes(x & 0xFF for x in list(buffer)[: max(n, 0)]).lstrip()
     line, end, _ = head.partition(b"\n")
     return bool(end) and line.rstrip() in (b"[", b"{", b"[{")
 
