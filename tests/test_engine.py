@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import metadata
-from tidemark.__main__ import handler
+from tidemark.__main__ import handler, post as ask
 from tidemark.catalog import Catalog, Field, Metric
 from tidemark.operators.unified import expand, resolve, split_key, unified
 from tidemark.session import Engine, Rejected, decode_query, validate_tenant
@@ -294,6 +294,10 @@ def test_http(engine):
         return json.loads(urllib.request.urlopen(request).read())
 
     assert post("SELECT count(*) AS n FROM metricid1") == [{"n": 10}]
+    assert json.loads(ask(url, "orgid1", "SELECT field1 FROM metricid1 ORDER BY field1 LIMIT 2")) == [{"field1": 0}, {"field1": 0}]
+    assert json.loads(ask(url, "orgid1", "SELECT field1 FROM metricid1 WHERE field1 = 99")) == []
+    with pytest.raises(urllib.error.URLError):
+        ask("http://127.0.0.1:9", "orgid1", "SELECT 1", attempts=2, pause=0.01)
     assert urllib.request.urlopen(f"{url}/alive").status == 200
     for bad in (("SELECT 1", None), ("SELECT * FROM nothing", "orgid1"), ("SELECT 1", "unknown")):
         with pytest.raises(urllib.error.HTTPError) as e:
