@@ -12,7 +12,10 @@ offsets[i + 1].  Decoding gathers token bytes by ids.
 
 Nulls are empty texts; an empty text has no ids.  Texts of any length are
 scanned in blocks, cut only before white space that follows other text, where
-a piece always begins.
+a piece always begins; so a text without white space is one block, for which a
+task needs some tens of times its size.  Every row has a result, also repeated
+ones; an empty table gives an empty one.  Only the id and text columns are read,
+so others may have any name.
 """
 
 from __future__ import annotations

@@ -13,13 +13,17 @@ The host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end,
 with A-Z lowered; the path goes on from there up to ``?``, ``#`` or the end.
 Null urls and such without ``://`` have neither (both empty): no rule fits them.
 Where no rule fits, the verdict is the default (allow: the file is a block list
-with exceptions).
+with exceptions).  Of rules alike in host and path the last counts.  Every row has a
+result, also repeated ones; an empty table gives an empty one.  A url of any length is
+judged whole.  Only the id and url columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import struct
 import tempfile
 import uuid
@@ -118,7 +122,9 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, *, id
     gets it again with its successor); its size is checked against LARGEST_FILE.
     """
     name = f"rules-{uuid.uuid4().hex}.bin"
-    local = os.path.join(tempfile.mkdtemp(prefix="rules-"), name)
+    folder = tempfile.mkdtemp(prefix="rules-")  # the driver's own; executors fetch the file from it until the application ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    local = os.path.join(folder, name)
     write_index(local, rules)
     if os.path.getsize(local) > LARGEST_FILE:
         raise ValueError("too many rules for one file")
