@@ -6,6 +6,8 @@ files once for each application (archive days, recent windows, the error stream)
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import uuid
 from collections.abc import Callable
@@ -105,9 +107,16 @@ def stores(spark: SparkSession, sf_dir: str) -> str:
             own.write.partitionBy(*levels).option("compression", packed).json(f"{base}/errors-{stage}")
             _bare(spark, f"{base}/errors-{stage}", lambda *parts: f"{base}/stream/{'/'.join(parts)}", 5, gzip=".gzip")
         _stores[key] = base
+        atexit.register(_remove, spark, base)
     return _stores[key]
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the application may be gone already
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _bare(spark: SparkSession, folder: str, target: Callable[..., str], depth: int, gzip: str | None = None) -> None:
     """Move partition folders (name=value) to folders of bare values; .gz files of every other day get another ending."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
