@@ -7,6 +7,7 @@ import contextlib
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,8 +77,10 @@ def _discard_all() -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that nothing refers to any more; else they stay until the driver happens to collect."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of reaches the JVM a moment later
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 #: A key with over one in HOT of all rows, and over HOT_ROWS, is dealt out over several tasks; there are fewer than HOT such keys.

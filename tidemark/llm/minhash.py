@@ -357,7 +357,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     top = written(label.groupBy("label").agg(F.min("m").alias("top"), F.count("*").alias("c")).where("c > 1").select("label", F.col("top.id").alias("_top")))
     named = written(label.join(top, "label", "left").select("node", F.when(F.col("_top").isNotNull(), F.col("_top")).otherwise(F.col("m.id")).alias("cluster_id")))
     discard(label, top)
-    return rows.join(named, "node").select("id", "text_key", "cluster_id")
+    found = written(rows.join(named, "node").select("id", "text_key", "cluster_id"))
+    discard(rows, named)
+    release(docs.sparkSession)
+    return found
 
 
 def _stars(pairs: DataFrame, sets: DataFrame, similarity: float, share: int = 128) -> DataFrame:
