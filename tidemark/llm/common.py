@@ -75,12 +75,16 @@ def _discard_all() -> None:
             remove(spark, folder)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that nothing refers to any more; else they stay until the driver happens to collect."""
-    for _ in range(2):  # what Python lets go of reaches the JVM a moment later
+def release(spark: SparkSession, times: int = 1) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more; else they stay until the driver happens to collect.
+
+    What Python lets go of reaches the JVM a moment later, so what must be gone before the next step takes two times.
+    """
+    for k in range(times):
+        if k:
+            time.sleep(0.1)
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.1)
 
 
 #: A key with over one in HOT of all rows, and over HOT_ROWS, is dealt out over several tasks; there are fewer than HOT such keys.

@@ -359,7 +359,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     discard(label, top)
     found = written(rows.join(named, "node").select("id", "text_key", "cluster_id"))
     discard(rows, named)
-    release(docs.sparkSession)
+    release(docs.sparkSession, 2)
     return found
 
 

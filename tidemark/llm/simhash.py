@@ -245,7 +245,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     top = written(label.groupBy("label").agg(F.min("m").alias("m")).select(F.col("m.id").alias("_id"), F.col("m.key").alias("_key")))
     twice = written(rows.groupBy("id", "text_key").count().where("count > 1").select(F.col("id").alias("_id"), F.col("text_key").alias("_key")))
     discard(rows, label)
-    release(docs.sparkSession)
+    release(docs.sparkSession, 2)
     same = lambda df, other: df[id_col].eqNullSafe(other["_id"]) & (text_key(text_col) == other["_key"])
     out = docs.join(top, same(docs, top), "left_semi")
     if twice.isEmpty():
