@@ -127,3 +127,25 @@ def text_key(column: str = "text") -> Column:
 def hex_of(column: Column) -> Column:
     """16 lower-case hex digits of a long, as unsigned."""
     return F.lpad(F.lower(F.hex(column)), 16, "0")
+
+
+#: Bits of a bitmap for each value, and the most longs that it has (8 MB).
+FILTER_BITS, FILTER_MOST = 32, 1 << 20
+
+
+def bitmap(hashes: DataFrame, n: int) -> tuple[Column, int]:
+    """A scalar: an array of longs with a bit set for each of the n values of h, FILTER_BITS for each of them up to FILTER_MOST longs; and how many longs."""
+    longs = min(FILTER_MOST, 1 << max(4, (n * FILTER_BITS // 64).bit_length()))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(longs - 1).alias("i")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
+    held = hashes.select(word, bit.alias("b"))
+    every = hashes.sparkSession.range(0, longs, 1, 1).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("b"))
+    filled = held.unionByName(every).groupBy("i").agg(F.bit_or("b").alias("b"))
+    row = filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]).alias("bits"))
+    return row.select("bits").scalar(), longs
+
+
+def maybe(bits: Column, longs: int, h: Column) -> Column:
+    """Whether h's bit is set: true for all values of the bitmap, and for few others unless there are very many values."""
+    word = F.get(bits, F.shiftrightunsigned(h, 6).bitwiseAND(longs - 1).cast("int"))
+    return F.call_function("shiftrightunsigned", word, h.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1

@@ -9,8 +9,7 @@ window.  Kept hashes of the documents are joined with those of the items, and ea
 meeting is extended to the window that kept it, whose words are compared.
 
 Before any row is made, a document's kept hashes are tried against a bitmap of the
-items' kept hashes (a scalar of FILTER_BITS bits for each of them, FILTER_MOST longs
-at most): it lets all matches pass and little else.  The join that follows is what
+items' kept hashes (a scalar, see common.bitmap): it lets all matches pass and little else.  The join that follows is what
 decides.
 
 Null texts have no words; neither have empty ones.  Rows of equal id and text
@@ -25,12 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, let, text_key, text_of, written
+from .common import bitmap, discard, let, maybe, text_key, text_of, written
 
 SPAN = 10
 GRAM = 5
-#: Bits of the filter for each kept hash of the items, and the most longs that it has (8 MB).
-FILTER_BITS, FILTER_MOST = 32, 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,35 +60,18 @@ def item_windows(items: DataFrame, *, id_col: str = "item_id", text_col: str = "
     return made.distinct()
 
 
-def _bitmap(hashes: DataFrame, n: int) -> tuple[Column, int]:
-    """A scalar: an array of longs with a bit set for each of the n values of h; and how many longs."""
-    longs = min(FILTER_MOST, 1 << max(4, (n * FILTER_BITS // 64).bit_length()))
-    word = F.shiftrightunsigned("h", 6).bitwiseAND(longs - 1).alias("i")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
-    held = hashes.select(word, bit.alias("b"))
-    every = hashes.sparkSession.range(0, longs, 1, 1).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("b"))
-    filled = held.unionByName(every).groupBy("i").agg(F.bit_or("b").alias("b"))
-    row = filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]).alias("bits"))
-    return row.select("bits").scalar(), longs
-
-
-def _maybe(bits: Column, longs: int, h: Column) -> Column:
-    word = F.get(bits, F.shiftrightunsigned(h, 6).bitwiseAND(longs - 1).cast("int"))
-    return F.call_function("shiftrightunsigned", word, h.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
-
-
 def _window(start: Column, length: int, h: Column) -> Column:
     return F.struct(start.cast("int").alias("s"), F.lit(length).alias("length"), h.alias("h"), F.array_join(F.slice("w", start + 1, length), " ").alias("words"))
 
 
 def _tried(bits: Column, longs: int):
     """A gram and its place, if the filter lets it pass."""
-    return lambda g, s: F.when(_maybe(bits, longs, g), F.struct(s.alias("s"), g.alias("h")))
+    return lambda g, s: F.when(maybe(bits, longs, g), F.struct(s.alias("s"), g.alias("h")))
 
 
 def _elected(bits: Column, longs: int, reach: int):
     """The least gram of the window that begins at a place, and that place, if the filter lets it pass."""
-    return lambda s: let(F.array_min(F.slice("g", s + 1, reach)), lambda h: F.when(_maybe(bits, longs, h), F.struct(s.alias("s"), h.alias("h"))))
+    return lambda s: let(F.array_min(F.slice("g", s + 1, reach)), lambda h: F.when(maybe(bits, longs, h), F.struct(s.alias("s"), h.alias("h"))))
 
 
 def _windowed(k: int):
@@ -122,7 +102,7 @@ def hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
     own = _with_words(own, "_text")
     found = []
     for k, n in sorted(shape.items()):
-        bits, longs = _bitmap(windows.where(F.col("length") == k).select("h").distinct(), n)
+        bits, longs = bitmap(windows.where(F.col("length") == k).select("h").distinct(), n)
         own = own.withColumn(f"bits{k}", bits)
         if k < span:  # items of fewer words: every gram of that length is tried
             met = F.transform(_grams(F.col("h"), F.col("n"), k), _tried(F.col(f"bits{k}"), longs))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, partitions, release, text_key, text_of, written
+from .common import bitmap, discard, maybe, partitions, release, text_key, text_of, written
 from .graph import components
 
 SHINGLE = 5
@@ -321,8 +321,11 @@ def grouping(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     pairs = written(emitted.join(least, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct())
     release(spark)
     members = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "m", "n"), "node"))
+    # Only the members' texts are shuffled: a bitmap of them (at most 8 MB) is tried before the join decides.
     first = members.select("node", F.col("m.id").alias("_id"), F.col("m.key").alias("_key"))
-    here = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"), text_key(text_col).alias("_of"))
+    bits, longs = bitmap(first.select(F.xxhash64("_id", "_key").alias("h")), members.count())
+    here = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"), text_key(text_col).alias("_of")).withColumn("_bits", bits)
+    here = here.where(maybe(F.col("_bits"), longs, F.xxhash64("_own", "_of"))).drop("_bits")
     texts = here.join(first, here["_own"].eqNullSafe(first["_id"]) & (here["_of"] == first["_key"])).select("node", "_text").dropDuplicates(["node"])
     sets = written(_shingle_sets(texts, shingle))
     release(spark)
