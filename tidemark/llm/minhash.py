@@ -407,8 +407,9 @@ def _rest(members: DataFrame, sets: DataFrame, similarity: float, block: int | N
     spark = members.sparkSession
     block = block or BLOCK
     emitted = members.select("node", "n", "label", F.explode("keys").alias("key"))
-    mixed = emitted.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("node", "label")).alias("first")).where("low <> high")
-    mixed = written(mixed.select("key", F.col("first.label").alias("main")))
+    mixed = emitted.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("node", "label")).alias("first"), F.bit_xor(F.xxhash64("node")).alias("who"), F.count("*").alias("c")).where("low <> high")
+    # Buckets of the same members (told by 64 bits of their nodes, their number and the least) are one: those of two bands often are.
+    mixed = written(mixed.groupBy("who", "c", "first").agg(F.min("key").alias("key")).select("key", F.col("first.label").alias("main")))
     placed = written(emitted.join(mixed, "key").withColumn("outer", F.col("label") != F.col("main")).drop("main"))
     release(spark)
     size = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(F.when(c, F.greatest("n", F.lit(1))).otherwise(0)) / block)).cast("int")
