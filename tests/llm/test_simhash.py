@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import graph, minhash, simhash
 
@@ -198,3 +199,44 @@ def test_keep_one_compares_block_with_block(spark, monkeypatch):
     items = [" ".join(base[:140] + [f"t{rng.randrange(10**6)}" for _ in range(rng.randint(20, 60))]) for _ in range(20)] + texts(40, 5)
     monkeypatch.setattr(minhash, "BLOCK", 800)
     assert sorted(r.doc_id for r in simhash.keep_one(documents(spark, items)).collect()) == brute_kept(items)
+
+
+def test_short_links_find_all_that_meet_in_a_ball(spark):
+    """By brute force: pairs within 2 bits in some part and within the radius are in one component, which no pair beyond the radius makes."""
+    rng = random.Random(31)
+    prints = {}
+    for _ in range(60):
+        seed = rng.getrandbits(256)
+        for _ in range(rng.choice([1, 2, 2, 12])):
+            x, rate = seed, rng.choice([0.02, 0.1, 0.2])
+            for b in range(256):
+                x ^= (rng.random() < rate) << b
+            prints[len(prints) * 7 - 500] = x
+    signed = lambda v: v - 2**64 if v >> 63 else v
+    nodes = spark.createDataFrame([(n, [signed(x >> 64 * k & 2**64 - 1) for k in range(4)]) for n, x in prints.items()], "node long, fingerprint array<long>")
+    near = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 71]
+    met = [(a, b) for a, b in near if any(((prints[a] ^ prints[b]) >> 16 * p & 0xFFFF).bit_count() <= 2 for p in range(16))]
+    assert len(met) > 300
+    label = {n: n for n in prints}
+    for a, b in met * 4:
+        label[a] = label[b] = min(label[a], label[b])
+    for block, at_once in ((1024, 16), (3, 5)):
+        found = {r.node: r.label for r in graph.components(simhash.short_links(nodes, bits=16, parts=16, radius=71, block=block, at_once=at_once)).collect()}
+        assert {n: found.get(n, n) for n in prints} == label
+
+
+def test_keep_one_meets_by_balls_of_fingerprints(spark, monkeypatch):
+    rng = random.Random(32)
+    words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    docs = documents(spark, [" ".join(words), " ".join([*words[:90], "edit", *words[91:]]), "another text of a few words"])
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 2]
+    monkeypatch.setattr(simhash, "short_links", lambda nodes, **_: minhash.written(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 1, 2]  # nothing else finds candidates
+
+
+def test_shape_grows_with_the_table():
+    assert simhash.shape(0, 0.8) == simhash.shape(240_000, 0.8) == (16, 16, 4, 71)
+    for n in (10**3, 10**6, 10**7, 10**9):
+        bits, parts, words, _ = simhash.shape(n, 0.8)
+        assert n * (bits + 1) <= 64 * 2**bits and parts == words * (64 // bits) and bits <= 32
+    assert simhash.shape(1000, 1.0)[1] == 4

@@ -20,7 +20,8 @@ signed whole; a text is in memory once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -258,26 +259,34 @@ def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return in_order(docs, id_col=id_col, text_col=text_col, notes=notes).mapInArrow(run, schema)
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS) -> DataFrame:
-    """id, text_key, node, n, keys, one row for each row of docs: a hash of the text's shingle set, the set's size, a hash of each band.
+def band_keys(hashes: np.ndarray, count: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """len(count) x bands hashes, one of each band of the signature."""
+    rows = PERMUTATIONS // bands
+    parts = minima(hashes, count, bands * rows).reshape(-1, bands, rows).astype(np.uint64)
+    keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), parts.shape[:2])
+    for r in range(rows):
+        keys = _mix(keys * np.uint64(31) + parts[:, :, r] + np.uint64(r + 1))
+    return keys
+
+
+def classes(docs: DataFrame, sign: Callable[[np.ndarray, np.ndarray], np.ndarray], *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """id, text_key, node, n, keys, one row for each row of docs: a hash of the text's shingle set, the set's size, what sign() makes of it.
 
     Texts of equal sets are one class, the node; of two different sets two nodes, but for a chance of 2^-64.
+    sign: the shingle hashes of some sets one after the other, and how many each has, to a row of unsigned 64-bit numbers for each.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = PERMUTATIONS // bands
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high in runs(batch.column(2), SLICE):
                 part = batch.slice(low, high - low)
-                sets, hashes, count = _sets(_bytes(part.column(2)), shingle)
-                parts = minima(hashes, count, bands * rows).reshape(-1, bands, rows).astype(np.uint64)
-                keys = np.broadcast_to(np.arange(bands, dtype=np.uint64), parts.shape[:2])
-                for r in range(rows):
-                    keys = _mix(keys * np.uint64(31) + parts[:, :, r] + np.uint64(r + 1))
-                held = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel().view(np.int64)))
+                sets, _, _ = _sets(_bytes(part.column(2)), shingle)
+                size = np.array([len(x) for x in sets], np.int64)
+                keys = sign(np.concatenate(sets), size)
+                held = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel().view(np.int64)))
                 node = [xxhash.xxh64_intdigest(x.tobytes(), 42) - 2**63 for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), held], ["id", "text_key", "node", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node, pa.int64()), pa.array(size), held], ["id", "text_key", "node", "n", "keys"])
 
     return docs.select(id_col, text_key(text_col), text_col).mapInArrow(run, f"id {kind}, text_key bigint, node bigint, n bigint, keys array<bigint>")
 
@@ -295,14 +304,16 @@ def _packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), np.uint64), (offsets - offsets[0]) // 8
 
 
-def grouping(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+def grouping(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, sign: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, meet: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, text_key, node of each row of docs), (node, m, label of each node): written tables.
 
     Texts link if the sets of their shingles have a Jaccard similarity of `similarity` or
     more; label tells the components of the links apart.  m: the node's first row by id (null
     ids last), then text_key, as a struct (no, id, key).
 
-    Links are looked for among the texts that meet in a band, and decided on whole sets:
+    Links are looked for among the texts that meet in a band, and decided on whole sets.  Or
+    they meet as the caller has it: sign makes the keys of each set (see classes()), and meet
+    a written table (node, key) of buckets from (node, n, keys).
 
     1. in each bucket (a band's value) all members are compared with its least node, so a
        bucket of any size costs as much as it has members;
@@ -312,11 +323,12 @@ def grouping(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Nothing else is left: two members of one bucket are in one component, or were compared.
     """
     spark = docs.sparkSession
-    own = written(classes(docs, id_col=id_col, text_col=text_col, shingle=shingle, bands=bands))
+    sign = sign or partial(band_keys, bands=bands)
+    own = written(classes(docs, sign, id_col=id_col, text_col=text_col, shingle=shingle))
     rank = F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("text_key").alias("key"))
     nodes = written(own.groupBy("node").agg(F.min(rank).alias("m"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     release(spark)
-    emitted = nodes.select("node", F.explode("keys").alias("key"))
+    emitted = meet(nodes.select("node", "n", "keys")) if meet else nodes.select("node", F.explode("keys").alias("key"))
     least = emitted.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
     pairs = written(emitted.join(least, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct())
     release(spark)
@@ -335,7 +347,7 @@ def grouping(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     discard(found)
     labelled = written(members.select("node", "n").join(star, "node", "left").withColumn("label", F.coalesce("label", "node")))
     release(spark)
-    rest = written(_rest(labelled.join(nodes.select("node", "keys"), "node"), sets, similarity))
+    rest = written(_rest(labelled.join(emitted, "node"), sets, similarity))
     discard(sets, members, star)
     if not rest.isEmpty():
         joined = components(rest)
@@ -346,7 +358,7 @@ def grouping(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     discard(rest)
     label = written(nodes.select("node", "m").join(labelled.select("node", "label"), "node", "left").select("node", "m", F.coalesce("label", "node").alias("label")))
     slim = written(own.select("id", "text_key", "node"))
-    discard(labelled, nodes, own)
+    discard(labelled, emitted, nodes, own)
     release(spark)
     return slim, label
 
@@ -398,7 +410,7 @@ def _stars(pairs: DataFrame, sets: DataFrame, similarity: float, share: int = 12
 
 
 def _rest(members: DataFrame, sets: DataFrame, similarity: float, block: int | None = None) -> DataFrame:
-    """members: node, n, label, keys.  Edges a, b between the labels of alike members of a bucket, enough to span them.
+    """members: node, n, label, key (one row for each bucket of a member).  Edges a, b between the labels of alike members of a bucket, enough to span them.
 
     Only buckets of several labels count.  Their members outside the least node's label
     (outer) are dealt into blocks of about BLOCK shingles, the others (inner) too; each outer
@@ -406,11 +418,10 @@ def _rest(members: DataFrame, sets: DataFrame, similarity: float, block: int | N
     """
     spark = members.sparkSession
     block = block or BLOCK
-    emitted = members.select("node", "n", "label", F.explode("keys").alias("key"))
-    mixed = emitted.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("node", "label")).alias("first"), F.bit_xor(F.xxhash64("node")).alias("who"), F.count("*").alias("c")).where("low <> high")
+    mixed = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("node", "label")).alias("first"), F.bit_xor(F.xxhash64("node")).alias("who"), F.count("*").alias("c")).where("low <> high")
     # Buckets of the same members (told by 64 bits of their nodes, their number and the least) are one: those of two bands often are.
     mixed = written(mixed.groupBy("who", "c", "first").agg(F.min("key").alias("key")).select("key", F.col("first.label").alias("main")))
-    placed = written(emitted.join(mixed, "key").withColumn("outer", F.col("label") != F.col("main")).drop("main"))
+    placed = written(members.join(mixed, "key").withColumn("outer", F.col("label") != F.col("main")).drop("main"))
     release(spark)
     size = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(F.when(c, F.greatest("n", F.lit(1))).otherwise(0)) / block)).cast("int")
     blocks = written(placed.groupBy("key").agg(size(F.col("outer")).alias("outers"), size(~F.col("outer")).alias("inners")))

@@ -18,9 +18,12 @@ Buckets of more than BLOCK fingerprints are compared block by block; a task
 gives, for what it compares, no more edges than fingerprints (a spanning
 forest).  Components are found by contraction, on Spark (``graph``).
 
-keep_one() is about a given similarity of the shingle sets, of which fingerprints
-are only an estimate: MinHash bands find its candidates, and whole shingle sets
-decide.  Its words and shingles are those of minhash.
+keep_one() is about a given similarity of the shingle sets, at which fingerprints
+differ in some 15 % of their bits: it takes wider fingerprints of the sets, cut into
+many short parts, whose balls meet in the same way (``shape``, ``short_links``);
+whole fingerprints are compared next, and within their components whole shingle sets
+decide.  Its words and
+shingles are those of minhash.
 
 Null and empty texts have no words: fingerprint zero, linked like any other.
 Every row of docs has a row in the result, also repeated ones; the smallest id
@@ -31,7 +34,9 @@ read; keep_one() gives all columns back as they were, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +51,8 @@ from .minhash import _mix, runs
 
 BLOCK = 1024
 PART_BITS = 32
+#: For keep_one(): the chance to miss a pair at the similarity, strangers in a bucket (about, at most), bits of the shortest part.
+MISS, STRANGERS, LEAST_BITS = 1e-5, 64, 16
 _LANES = np.uint64(0x0000000100000001)
 
 
@@ -65,12 +72,15 @@ def shingle_hashes(text: bytes, size: int) -> np.ndarray:
 def fingerprint_rows(texts: list[bytes], size: int, width: int = 1) -> np.ndarray:
     """len(texts) x width, unsigned."""
     each = [shingle_hashes(t, size) for t in texts]
-    count = np.array([len(x) for x in each], np.int64)
-    out = np.zeros((len(texts), width), np.uint64)
+    return majorities(np.concatenate([np.zeros(0, np.uint64), *each]), np.array([len(x) for x in each], np.int64), width)
+
+
+def majorities(hashes: np.ndarray, count: np.ndarray, width: int) -> np.ndarray:
+    """The fingerprints (len(count) x width, unsigned) of texts that have `count` of the hashes each."""
+    out = np.zeros((len(count), width), np.uint64)
     full = np.flatnonzero(count)
     if not len(full):
         return out
-    hashes = np.concatenate(each)
     offset = (np.cumsum(count) - count)[full]
     most = count[full].astype(np.uint64)
     for k in range(width):
@@ -98,11 +108,11 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, fingerprint array<bigint>")
 
 
-def _ball(reach: int) -> list[int]:
-    """Masks of at most `reach` of PART_BITS bits."""
+def _ball(reach: int, bits: int = PART_BITS) -> list[int]:
+    """Masks of at most `reach` of `bits` bits."""
     found, last = [0], [0]
     for _ in range(reach):
-        last = sorted({m | 1 << b for m in last for b in range(PART_BITS) if not m >> b & 1})
+        last = sorted({m | 1 << b for m in last for b in range(bits) if not m >> b & 1})
         found += last
     return found
 
@@ -201,9 +211,123 @@ def links(nodes: DataFrame, *, radius: int = 4, reach: int | None = None, block:
     return sides.select("key", "low", "high", "left", "right", "node", "fingerprint").mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
 
 
-def _moved(masks, value, part: int):
+def _moved(masks, value, part: int, bits: int = PART_BITS):
     """The variants of a part, each with the part's number above its bits."""
-    return F.transform(masks, lambda m: value.bitwiseXOR(m).bitwiseOR(F.lit(part << PART_BITS).cast("long")))
+    return F.transform(masks, lambda m: value.bitwiseXOR(m).bitwiseOR(F.lit(part << bits).cast("long")))
+
+
+def shape(n: int, similarity: float) -> tuple[int, int, int, int]:
+    """Bits of a part, parts, 64-bit words of a fingerprint and the radius, for n sets whose links are at `similarity` or more.
+
+    Sets of that Jaccard similarity differ in a bit with a probability of p at most (the angle of
+    their vectors over pi; sets of a few shingles vary about it).  Parts meet at 2 or fewer
+    differing bits, and there are enough of them that a pair fails to meet with a probability
+    below MISS.  The radius lies 5.5 deviations above what such a pair differs in.  The more
+    sets, the longer are the parts, so that about STRANGERS meet in a bucket by chance.
+    """
+    bits = LEAST_BITS
+    while bits < PART_BITS and n * (bits + 1) > STRANGERS << bits:
+        bits += 1
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    meet = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    words = math.ceil(math.log(MISS) / math.log1p(-meet) / (64 // bits)) if meet < 1 else 1
+    all_bits = 64 * words
+    return bits, words * (64 // bits), words, math.ceil(all_bits * p + 5.5 * math.sqrt(all_bits * p * (1 - p)))
+
+
+def short_links(nodes: DataFrame, *, bits: int, parts: int, radius: int, block: int = BLOCK, at_once: int = 4) -> DataFrame:
+    """links() for wide fingerprints in parts of a few bits, of which many strangers share one; a written table.
+
+    nodes: distinct node (long), fingerprint (array).  Edges a, b (a < b) that span the components
+    of the links between nodes that are within the radius, and within 2 bits in some part.
+    All variants of each part within one bit are shuffled, and the nodes of each bucket compared.
+    Buckets of more than about `block` nodes are dealt out by blocks, each two of which meet.
+    Parts are taken `at_once`, as many variants are on disk together.
+    """
+    spark = nodes.sparkSession
+    per, width = 64 // bits, -(-parts // (64 // bits))
+    masks = F.array(*[F.lit(m).cast("long") for m in _ball(1, bits)])
+    words = [f"w{k}" for k in range(width)]
+    nodes = nodes.select("node", *[F.get("fingerprint", k).alias(w) for k, w in enumerate(words)])
+    value = lambda p: F.shiftrightunsigned(words[p // per], bits * (p % per)).bitwiseAND((1 << bits) - 1)
+    variants = lambda p, v: _moved(masks, v, p, bits)
+    # Of a bucket's more than `block` nodes, some value of its ball has over block / (bits + 1): those buckets are few.
+    values = nodes.select(F.explode(F.array(*[F.struct(F.lit(p).alias("p"), value(p).alias("v")) for p in range(parts)])).alias("x")).groupBy("x.p", "x.v").count()
+    heavy = values.where(F.col("count") > block // (bits + 1)).withColumn("key", F.explode(F.transform(masks, lambda m: F.col("v").bitwiseXOR(m).bitwiseOR(F.shiftleft(F.col("p").cast("long"), bits)))))
+    hot = written(heavy.groupBy("key").agg((F.ceil(F.sum("count") / block) + 1).cast("int").alias("blocks")))
+    release(spark)
+    n = partitions(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _buckets(batches, ("key", "pair")):
+            key, pair, node = (rows.column(c).to_numpy() for c in ("key", "pair", "node"))
+            print_of = np.stack([rows.column(w).to_numpy().view(np.uint64) for w in words], 1)
+            left, right = pair_side(rows, 1), pair_side(rows, 0)
+            begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])))
+            a, b = [], []
+            for low, high in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
+                if high - low > 1:
+                    at = slice(low, high)
+                    member, root = _pairs_within(node[at], print_of[at], left[at], right[at], radius)
+                    if member:
+                        a += node[at][root].tolist()
+                        b += node[at][member].tolist()
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def pair_side(rows: pa.Table, bit: int) -> np.ndarray:
+        return (rows.column("side").to_numpy() >> bit & 1).astype(bool)
+
+    held = []
+    for low in range(0, parts, at_once):
+        emitted = nodes.repartition(n, "node").select("node", *words, F.explode(F.flatten(F.array(*[variants(p, value(p)) for p in range(low, min(parts, low + at_once))]))).alias("key"))
+        own = emitted.join(hot, "key", "left").withColumn("i", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
+        sides = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        pair = (F.shiftleft(F.least("i", "j").cast("long"), 32) + F.greatest("i", "j")).alias("pair")
+        side = ((F.col("i") <= F.col("j")).cast("int") * 2 + (F.col("i") >= F.col("j")).cast("int")).alias("side")
+        rows = sides.select("key", pair, side, "node", *words).repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "node")
+        held.append(written(rows.mapInArrow(run, "a bigint, b bigint").distinct()))
+        release(spark)
+    every = held[0]
+    for more in held[1:]:
+        every = every.unionByName(more)
+    every = written(every.distinct())
+    discard(hot, *held)
+    return every
+
+
+def _meetings(nodes: DataFrame, **options) -> DataFrame:
+    """nodes: node, n, keys (its fingerprint).  node, key, a written table: the component by short_links() of each node that has links.
+
+    Empty sets have none: they are alike to no other.
+    """
+    found = short_links(nodes.where("n > 0").select("node", F.col("keys").alias("fingerprint")), **options)
+    label = components(found)
+    own = label.select("node", F.col("label").alias("key"))
+    every = written(own.unionByName(own.select(F.col("key").alias("node"), "key").distinct()))
+    discard(found, label)
+    return every
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows, which are sorted by the columns `by`, in tables that hold all rows of each of their groups."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        keys = [batch.column(c).to_numpy() for c in by]
+        other = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
+        if not len(other) and len(held) > 1:  # the last group may be the one of the batch before
+            before = [held[-2].column(c)[-1].as_py() for c in by]
+            other = np.zeros(0 if before == [k[-1] for k in keys] else 1, np.int64) - 1
+        if len(other):  # the last group may go on
+            done = int(other[-1]) + 1
+            if len(held) > 1 or done:
+                yield pa.Table.from_batches([*held[:-1], batch.slice(0, done)])
+            held = [batch.slice(done)]
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, width: int, radius: int, reach: int | None) -> tuple[DataFrame, DataFrame]:
@@ -236,12 +360,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest id (null ids last, then by text hash); columns as they were.
 
-    Groups are minhash.grouping()'s: components of links between texts whose shingle sets are
-    alike to `similarity`, which fingerprints of 64 bits only estimate (see the README's figures).
+    Groups are components of links between texts whose shingle sets are alike to `similarity`:
+    looked for in the components of their fingerprints (``short_links``), and decided on the
+    whole sets (minhash.grouping()).
     Rows alike in id and text (null texts are empty) are one document: the first of them by their
     other columns stays.
     """
-    rows, label = minhash.grouping(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity)
+    bits, parts, width, radius = shape(docs.count(), similarity)
+    meet = partial(_meetings, bits=bits, parts=parts, radius=radius)
+    rows, label = minhash.grouping(docs, id_col=id_col, text_col=text_col, shingle=shingle, similarity=similarity, sign=partial(majorities, width=width), meet=meet)
     top = written(label.groupBy("label").agg(F.min("m").alias("m")).select(F.col("m.id").alias("_id"), F.col("m.key").alias("_key")))
     twice = written(rows.groupBy("id", "text_key").count().where("count > 1").select(F.col("id").alias("_id"), F.col("text_key").alias("_key")))
     discard(rows, label)
