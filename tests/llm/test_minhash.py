@@ -132,3 +132,21 @@ def test_notes_are_of_their_own_text(spark):
     near = minhash.near_duplicates(docs)
     rows = minhash.compare_edits(docs, notes=near).collect()
     assert sorted([(r.doc_id, r.note) for r in rows], key=str) == sorted(((r.id, r.cluster_id) for r in near.collect()), key=str)
+
+
+def test_what_is_settled_is_not_compared(spark, monkeypatch):
+    """Sets of too different sizes meet no comparison, pairs that met alone only one; repeated rows change nothing."""
+    rng = random.Random(23)
+    base = [[f"w{rng.randrange(50000)}" for _ in range(300)] for _ in range(30)]
+    items = [" ".join(w) for w in base] + [" ".join(w[:225]) for w in base] + [" ".join([*w[:255], *[f"e{rng.randrange(10**6)}" for _ in range(45)]]) for w in base[:10]]
+    seen = {}
+    stars, rest = minhash._stars, minhash._rest
+    monkeypatch.setattr(minhash, "_stars", lambda pairs, sets, similarity: seen.update(pairs=pairs.count(), sets=sets.count(), nodes=sets.select("node").distinct().count()) or stars(pairs, sets, similarity))
+    monkeypatch.setattr(minhash, "_rest", lambda members, sets, similarity: seen.update(rest=members.count()) or rest(members, sets, similarity))
+    assert clusters(documents(spark, items[:60])) == [(i, i) for i in sorted(range(60), key=lambda i: str((i, i)))]
+    assert seen["pairs"] == seen["rest"] == seen["sets"] == 0
+    want = brute_clusters(items)
+    docs = documents(spark, items)
+    assert clusters(docs) == sorted(enumerate(want), key=str) and seen["sets"] > 0
+    twice = docs.unionByName(docs).unionByName(docs)
+    assert clusters(twice) == sorted([(i, c) for i, c in enumerate(want) for _ in range(3)], key=str) and seen["sets"] == seen["nodes"]

@@ -317,8 +317,9 @@ def grouping(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     1. in each bucket (a band's value) all members are compared with its least node, so a
        bucket of any size costs as much as it has members;
-    2. where a bucket's members are still of several components, those outside the least node's
-       are compared with all the others (blocks with blocks), pairs of one component left out.
+    2. where the members of a bucket of three or more are still of several components, those
+       outside the least node's are compared with all the others (blocks with blocks), pairs of
+       one component left out.
 
     Nothing else is left: two members of one bucket are in one component, or were compared.
     """
@@ -328,18 +329,24 @@ def grouping(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rank = F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("text_key").alias("key"))
     nodes = written(own.groupBy("node").agg(F.min(rank).alias("m"), F.first("n").alias("n"), F.first("keys").alias("keys")))
     release(spark)
-    emitted = meet(nodes.select("node", "n", "keys")) if meet else nodes.select("node", F.explode("keys").alias("key"))
-    least = emitted.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
-    pairs = written(emitted.join(least, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct())
+    emitted = meet(nodes.select("node", "n", "keys")).join(nodes.select("node", "n"), "node") if meet else nodes.select("node", "n", F.explode("keys").alias("key"))
+    least = emitted.groupBy("key").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("n_a"), F.count("*").alias("c")).where("c > 1")
+    met = written(emitted.join(least, "key").select("key", "node", "n", "a", "n_a", "c"))
     release(spark)
-    members = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "m", "n"), "node"))
-    # Only the members' texts are shuffled: a bitmap of them (at most 8 MB) is tried before the join decides.
-    first = members.select("node", F.col("m.id").alias("_id"), F.col("m.key").alias("_key"))
-    bits, longs = bitmap(first.select(F.xxhash64("_id", "_key").alias("h")), members.count())
+    # Sets whose sizes are further apart than the similarity cannot be alike to it.
+    fits = F.least("n", "n_a") / F.greatest("n", "n_a") >= similarity
+    pairs = written(met.where((F.col("a") != F.col("node")) & fits).select("a", F.col("node").alias("b")).distinct())
+    release(spark)
+    crowd = met.where("c > 2").select("key", "node")
+    members = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.select("node")).distinct().join(nodes.select("node", "m", "n"), "node"))
+    # No text is shuffled: a bitmap of the members' first rows (at most 8 MB) tells whose sets are made.
+    bits, longs = bitmap(members.select(F.xxhash64("m.id", "m.key").alias("h")), members.count())
     here = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"), text_key(text_col).alias("_of")).withColumn("_bits", bits)
-    here = here.where(maybe(F.col("_bits"), longs, F.xxhash64("_own", "_of"))).drop("_bits")
-    texts = here.join(first, here["_own"].eqNullSafe(first["_id"]) & (here["_of"] == first["_key"])).select("node", "_text").dropDuplicates(["node"])
-    sets = written(_shingle_sets(texts, shingle))
+    sets = written(_shingle_sets(here.where(maybe(F.col("_bits"), longs, F.xxhash64("_own", "_of"))), shingle))
+    if not sets.groupBy("node").count().where("count > 1").isEmpty():  # rows alike in several tasks
+        once = written(sets.dropDuplicates(["node"]))
+        discard(sets)
+        sets = once
     release(spark)
     found = written(_stars(pairs, sets, similarity))
     discard(pairs)
@@ -347,8 +354,8 @@ def grouping(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     discard(found)
     labelled = written(members.select("node", "n").join(star, "node", "left").withColumn("label", F.coalesce("label", "node")))
     release(spark)
-    rest = written(_rest(labelled.join(emitted, "node"), sets, similarity))
-    discard(sets, members, star)
+    rest = written(_rest(labelled.join(crowd, "node"), sets, similarity))
+    discard(sets, members, star, met)
     if not rest.isEmpty():
         joined = components(rest)
         moved = joined.select(F.col("node").alias("label"), F.col("label").alias("top"))
@@ -493,12 +500,18 @@ def _alike(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: n
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """texts: node, _text.  node, shingles (binary: the sorted set of hashes, 64 bits each)."""
+    """texts: _text.  node (as in classes()), shingles (binary: the sorted set of hashes, 64 bits each); each node once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for low, high in runs(batch.column(1), SLICE):
-                part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in _sets(_bytes(part.column(1)), shingle)[0]], pa.binary())], ["node", "shingles"])
-
-    return texts.select("node", "_text").mapInArrow(run, "node bigint, shingles binary")
+            for low, high in runs(batch.column(0), SLICE):
+                own = {}
+                for x in _sets(_bytes(batch.column(0).slice(low, high - low)), shingle)[0]:
+                    held = x.tobytes()
+                    own[xxhash.xxh64_intdigest(held, 42) - 2**63] = held
+                own = {node: held for node, held in own.items() if node not in seen}
+                seen |= own.keys()
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], ["node", "shingles"])
+
+    return texts.select("_text").mapInArrow(run, "node bigint, shingles binary")
