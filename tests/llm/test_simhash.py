@@ -225,6 +225,38 @@ def test_short_links_find_all_that_meet_in_a_ball(spark):
         assert {n: found.get(n, n) for n in prints} == label
 
 
+def test_short_links_of_a_group_grow_with_its_members(spark, monkeypatch):
+    """Near copies that share many buckets, each of many blocks: the edges that tasks give do not grow with the square of the group."""
+    made = []
+    frame = type(spark.range(1))
+    whole = frame.mapInArrow
+
+    def counted(df, *args):
+        out = whole(df, *args)
+        made.append(out.count())
+        return out
+
+    def edges(n):
+        rng = random.Random(33)
+        seed, prints = rng.getrandbits(256), []
+        for _ in range(n):
+            x = seed
+            for b in rng.sample(range(256), 6):
+                x ^= 1 << b
+            prints.append(x)
+        prints += [rng.getrandbits(256) for _ in range(50)]
+        signed = lambda v: v - 2**64 if v >> 63 else v
+        nodes = spark.createDataFrame([(i, [signed(x >> 64 * k & 2**64 - 1) for k in range(4)]) for i, x in enumerate(prints)], "node long, fingerprint array<long>")
+        made.clear()
+        label = {r.node: r.label for r in graph.components(simhash.short_links(nodes, bits=16, parts=16, radius=71, block=32, at_once=16)).collect()}
+        assert label == dict.fromkeys(range(1, n), 0)
+        return sum(made)
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    few = edges(150)
+    assert edges(600) <= 4 * few + 600
+
+
 def test_keep_one_meets_by_balls_of_fingerprints(spark, monkeypatch):
     rng = random.Random(32)
     words = [f"w{rng.randrange(5000)}" for _ in range(200)]

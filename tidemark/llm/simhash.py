@@ -36,17 +36,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import discard, partitions, release, text_key, written
-from .graph import components
+from .common import bitmap, discard, maybe, partitions, release, text_key, written
+from .graph import _held, components
 from .minhash import _mix, runs
 
 BLOCK = 1024
@@ -117,13 +118,14 @@ def _ball(reach: int, bits: int = PART_BITS) -> list[int]:
     return found
 
 
-def _pairs_within(nodes: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[list, list]:
-    """Each member (of ascending nodes) beside the first of its tree, by the links between members marked left and members marked right.
+def _pairs_within(tree: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each first member of a tree beside the first one of the tree that it comes to be in, by the links between members marked left and members marked right.
 
+    tree: for each member (of ascending nodes) the first one that is known to be of its component.
     Buckets that hold the same fingerprints thus give the same edges.
     """
     i, j = np.flatnonzero(left), np.flatnonzero(right)
-    label = np.arange(len(nodes))
+    label = tree.copy()
     step = max(1, (1 << 20) // max(1, len(j)))
     for low in range(0, len(i), step):
         own = i[low : low + step]
@@ -140,8 +142,8 @@ def _pairs_within(nodes: np.ndarray, words: np.ndarray, left: np.ndarray, right:
             label[high] = np.minimum(x, y)[at]  # a root is hung below a smaller one: no cycle
             while (label[label] != label).any():
                 label = label[label]
-    member = np.flatnonzero(label != np.arange(len(nodes)))
-    return member.tolist(), label[member].tolist()
+    member = np.flatnonzero((tree == np.arange(len(tree))) & (label != tree))
+    return member, label[member]
 
 
 def links(nodes: DataFrame, *, radius: int = 4, reach: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -182,7 +184,7 @@ def links(nodes: DataFrame, *, radius: int = 4, reach: int | None = None, block:
         a, b = node[met].tolist(), node[met + 1].tolist()
         for low, n in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
             at = slice(low, low + n)
-            i, j = _pairs_within(node[at], words[at], left[at], right[at], radius)
+            i, j = _pairs_within(np.arange(n), words[at], left[at], right[at], radius)
             a += node[at][i].tolist()
             b += node[at][j].tolist()
         return a, b
@@ -240,8 +242,15 @@ def short_links(nodes: DataFrame, *, bits: int, parts: int, radius: int, block:
 
     nodes: distinct node (long), fingerprint (array).  Edges a, b (a < b) that span the components
     of the links between nodes that are within the radius, and within 2 bits in some part.
-    All variants of each part within one bit are shuffled, and the nodes of each bucket compared.
-    Buckets of more than about `block` nodes are dealt out by blocks, each two of which meet.
+
+    1. where nodes are equal in a part, all are compared with the least of them; the components
+       of these links are the nodes' labels (large groups have few, however many members);
+    2. all variants of each part within one bit are shuffled, and the nodes of each bucket that
+       are of different labels compared; what comes of it are edges between labels.
+
+    Of buckets that may have more than `block` nodes, those of one label go no further.  In the
+    others the nodes outside the most frequent label (outer) are dealt into blocks, and the inner
+    ones too; outer blocks meet all blocks, inner ones not each other.
     Parts are taken `at_once`, as many variants are on disk together.
     """
     spark = nodes.sparkSession
@@ -251,51 +260,106 @@ def short_links(nodes: DataFrame, *, bits: int, parts: int, radius: int, block:
     nodes = nodes.select("node", *[F.get("fingerprint", k).alias(w) for k, w in enumerate(words)])
     value = lambda p: F.shiftrightunsigned(words[p // per], bits * (p % per)).bitwiseAND((1 << bits) - 1)
     variants = lambda p, v: _moved(masks, v, p, bits)
-    # Of a bucket's more than `block` nodes, some value of its ball has over block / (bits + 1): those buckets are few.
-    values = nodes.select(F.explode(F.array(*[F.struct(F.lit(p).alias("p"), value(p).alias("v")) for p in range(parts)])).alias("x")).groupBy("x.p", "x.v").count()
-    heavy = values.where(F.col("count") > block // (bits + 1)).withColumn("key", F.explode(F.transform(masks, lambda m: F.col("v").bitwiseXOR(m).bitwiseOR(F.shiftleft(F.col("p").cast("long"), bits)))))
-    hot = written(heavy.groupBy("key").agg((F.ceil(F.sum("count") / block) + 1).cast("int").alias("blocks")))
-    release(spark)
     n = partitions(spark)
+    own_values = F.array(*[value(p).bitwiseOR(F.lit(p << bits).cast("long")) for p in range(parts)])
+    star = _part_stars(nodes, own_values, words, radius)
+    label = components(star)
+    discard(star)
+    nodes = written(nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _buckets(batches, ("key", "pair")):
-            key, pair, node = (rows.column(c).to_numpy() for c in ("key", "pair", "node"))
-            print_of = np.stack([rows.column(w).to_numpy().view(np.uint64) for w in words], 1)
-            left, right = pair_side(rows, 1), pair_side(rows, 0)
-            begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])))
-            a, b = [], []
-            for low, high in zip(begin.tolist(), [*begin[1:].tolist(), len(key)], strict=True):
-                if high - low > 1:
-                    at = slice(low, high)
-                    member, root = _pairs_within(node[at], print_of[at], left[at], right[at], radius)
-                    if member:
-                        a += node[at][root].tolist()
-                        b += node[at][member].tolist()
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    def pair_side(rows: pa.Table, bit: int) -> np.ndarray:
-        return (rows.column("side").to_numpy() >> bit & 1).astype(bool)
+    # Of a bucket's more than `block` nodes, some value of its ball has over block / (bits + 1): those buckets are few.
+    tally = nodes.select("label", F.explode(own_values).alias("value")).groupBy("value", "label").count()
+    heavy = tally.groupBy("value").agg(F.sum("count").alias("c")).where(F.col("c") > block // (bits + 1))
+    moved = lambda c: F.explode(F.transform(masks, lambda m: F.col(c).bitwiseXOR(m)))
+    heavy = _held(heavy.select(moved("value").alias("key")).distinct().select("key", moved("key").alias("value")))
+    release(spark)
+    # What is in their buckets: so many nodes of each label, not the nodes themselves.
+    counts = tally.join(heavy, "value").groupBy("key", "label").agg(F.sum("count").alias("count"))
+    counts = counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.max("count").alias("inner"), (F.sum("count") - F.max("count")).alias("outer"))
+    hot = _held(counts.where(F.col("inner") + F.col("outer") > block).select("key", "main", F.ceil(F.col("inner") / block).cast("int").alias("inners"), F.ceil(F.col("outer") / block).cast("int").alias("outers")))
+    discard(heavy)
+    release(spark)
+    n_hot = hot.count()
+    # A bitmap tells which rows may be of these buckets (with the shortest parts, which are), so that no others are joined.
+    bits_of, longs = bitmap(hot.select(F.col("key").alias("h")), max(n_hot, 1 << 15))
+    may = maybe(bits_of, longs, F.col("key"))
 
     held = []
     for low in range(0, parts, at_once):
-        emitted = nodes.repartition(n, "node").select("node", *words, F.explode(F.flatten(F.array(*[variants(p, value(p)) for p in range(low, min(parts, low + at_once))]))).alias("key"))
-        own = emitted.join(hot, "key", "left").withColumn("i", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
-        sides = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-        pair = (F.shiftleft(F.least("i", "j").cast("long"), 32) + F.greatest("i", "j")).alias("pair")
-        side = ((F.col("i") <= F.col("j")).cast("int") * 2 + (F.col("i") >= F.col("j")).cast("int")).alias("side")
-        rows = sides.select("key", pair, side, "node", *words).repartition(n, "key", "pair").sortWithinPartitions("key", "pair", "node")
-        held.append(written(rows.mapInArrow(run, "a bigint, b bigint").distinct()))
+        emitted = nodes.repartition(n, "node").select("node", "label", *words, F.explode(F.flatten(F.array(*[variants(p, value(p)) for p in range(low, min(parts, low + at_once))]))).alias("key"))
+        columns = ["key", "x", "y", "side", "label", "node", *words]
+        none = F.lit(0)
+        rows = (emitted.where(~may) if n_hot else emitted).select("*", none.alias("x"), none.alias("y"), F.lit(3).alias("side")).select(*columns)
+        if n_hot:
+            rows = rows.unionByName(_dealt(emitted.where(may).join(hot, "key", "left")).select(*columns))
+        rows = rows.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y", "label", "node")
+        held.append(written(_between_labels(rows, words, radius).distinct()))
         release(spark)
-    every = held[0]
-    for more in held[1:]:
+    every = label.select(F.col("label").alias("a"), F.col("node").alias("b"))
+    for more in held:
         every = every.unionByName(more)
     every = written(every.distinct())
-    discard(hot, *held)
+    discard(hot, label, nodes, *held)
     return every
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows: key, label, node, main, inners, outers (null: not of a hot bucket).  Adds x, y, side: each row once for each pair of blocks in which it is compared; not at all if its bucket has but one label."""
+    outer, cold = F.col("label") != F.col("main"), F.col("outers").isNull()
+    rows = rows.where("outers is null or outers > 0")
+    rows = rows.withColumn("i", F.when(cold, 0).otherwise(F.pmod(F.xxhash64("node"), F.when(outer, F.col("outers")).otherwise(F.col("inners"))).cast("int")))
+    # The other side j: an outer block, or -1 - an inner block.
+    rows = rows.withColumn("j", F.explode(F.when(cold, F.array(F.lit(0))).when(outer, F.sequence(-F.col("inners"), F.col("outers") - 1)).otherwise(F.sequence(F.lit(0), F.col("outers") - 1))))
+    i, j = F.col("i"), F.col("j")
+    x = F.when(cold, 0).when(~outer, j).when(j < 0, i).otherwise(F.least(i, j))
+    y = F.when(cold, 0).when(~outer, -1 - i).when(j < 0, j).otherwise(F.greatest(i, j))
+    side = F.when(cold, 3).when(~outer, 1).when(j < 0, 2).otherwise((i <= j).cast("int") * 2 + (i >= j).cast("int"))
+    return rows.withColumn("x", x).withColumn("y", y).withColumn("side", side)
+
+
+def _part_stars(nodes: DataFrame, keys: Column, words: list[str], radius: int) -> DataFrame:
+    """Edges a, b (a < b), a written table: of the nodes that share one of the keys, those within the radius of the least one.
+
+    What is joined with a hot key is a written table, so that Spark can split it.
+    """
+    spark = nodes.sparkSession
+    own = nodes.repartition(partitions(spark), "node").select("node", *words, F.explode(keys).alias("key"))
+    first = nodes.select(F.col("node").alias("a"), *[F.col(w).alias(f"a{w}") for w in words])
+    least = written(own.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c").join(first, "a"))
+    release(spark)
+    apart = reduce(add, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"a{w}"))) for w in words])
+    star = written(own.join(least, "key").where((F.col("a") < F.col("node")) & (apart <= radius)).select("a", F.col("node").alias("b")).distinct())
+    discard(least)
+    release(spark)
+    return star
+
+
+def _between_labels(rows: DataFrame, words: list[str], radius: int) -> DataFrame:
+    """rows: key, x, y, side (2: left, 1: right), label, node, words, sorted by these.  Edges a, b (a < b) between the labels that have links from left to right in a group of key, x, y, enough to span them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _buckets(batches, ("key", "x", "y")):
+            keys, label, side = [rows.column(c).to_numpy() for c in ("key", "x", "y")], rows.column("label").to_numpy(), rows.column("side").to_numpy()
+            print_of = np.stack([rows.column(w).to_numpy().view(np.uint64) for w in words], 1)
+            begin = np.flatnonzero(np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])))
+            end = np.append(begin[1:], len(label))
+            mixed = label[begin] != label[end - 1]  # they are sorted
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for low, high in zip(begin[mixed].tolist(), end[mixed].tolist(), strict=True):
+                own, at = label[low:high], slice(low, high)
+                new = np.append(True, own[1:] != own[:-1])
+                tree = np.flatnonzero(new)[np.cumsum(new) - 1]
+                left, right = side[at] >= 2, side[at] % 2 == 1
+                if left.all() and right.all():  # each two are of different labels, or one of them is not of the most frequent
+                    left = tree != np.bincount(tree).argmax()
+                member, root = _pairs_within(tree, print_of[at], left, right, radius)
+                a.append(own[root])
+                b.append(own[member])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
 def _meetings(nodes: DataFrame, **options) -> DataFrame:
     """nodes: node, n, keys (its fingerprint).  node, key, a written table: the component by short_links() of each node that has links.
 
