@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -58,3 +59,14 @@ def test_rows(spark, reference):
     again = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
     assert {r.doc_id: bytes(r.decoded) for r in again} == {k: bytes(r.decoded) for k, r in rows.items()}
     assert bpe.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_workers_keep_no_pieces(spark):
+    """Workers stay for other stages, in which the cache of pieces was room that nothing used."""
+
+    def held(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(t.cache) for t in bpe._held.values())] * len(batch))], ["pieces"])
+
+    assert len(bpe.encode(documents(spark).repartition(4), PATH).collect()) == 60
+    assert {r.pieces for r in spark.range(0, 64, 1, 4).mapInArrow(held, "pieces long").collect()} == {0}

@@ -31,6 +31,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 OTHER, LETTER, NUMBER, SPACE, BREAK = range(5)
 #: White space of the pre-tokenisation pattern (fixed values: Unicode White_Space).
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -377,18 +379,21 @@ def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = ranks.tokenizer()
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1)
-            for low, high in _chunks(texts):
-                ids = tokenizer.encode([x or "" for x in texts.slice(low, high - low).to_pylist()])
-                columns = [keys.slice(low, high - low), pa.array([x.tobytes() for x in ids], pa.binary())]
-                if offsets:
-                    columns.append(pa.array([tokenizer.offsets(x).astype("<u4").tobytes() for x in ids], pa.binary()))
-                if decoded:
-                    columns.append(pa.array([tokenizer.decode(x) for x in ids], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", *["offsets"] * offsets, *["decoded"] * decoded])
-
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+        try:
+            for batch in batches:
+                keys, texts = batch.column(0), batch.column(1)
+                for low, high in _chunks(texts):
+                    ids = tokenizer.encode([x or "" for x in texts.slice(low, high - low).to_pylist()])
+                    columns = [keys.slice(low, high - low), pa.array([x.tobytes() for x in ids], pa.binary())]
+                    if offsets:
+                        columns.append(pa.array([tokenizer.offsets(x).astype("<u4").tobytes() for x in ids], pa.binary()))
+                    if decoded:
+                        columns.append(pa.array([tokenizer.decode(x) for x in ids], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, [id_col, "ids", *["offsets"] * offsets, *["decoded"] * decoded])
+        finally:
+            tokenizer.cache.clear()  # the worker stays, and other stages need the room
+
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id") -> DataFrame:
@@ -402,4 +407,4 @@ def decode(encoded: DataFrame, path: str, *, id_col: str = "doc_id") -> DataFram
             texts = [tokenizer.decode(np.frombuffer(x or b"", "<u4")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], [id_col, "decoded"])
 
-    return encoded.select(id_col, "ids").mapInArrow(run, f"{id_col} {kind.simpleString()}, decoded binary")
+    return encoded.select(id_col, "ids").mapInArrow(lean(run), f"{id_col} {kind.simpleString()}, decoded binary")

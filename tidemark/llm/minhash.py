@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, discard, maybe, partitions, release, text_key, text_of, written
+from .common import bitmap, discard, lean, maybe, partitions, release, text_key, text_of, written
 from .graph import components
 
 SHINGLE = 5
@@ -128,7 +128,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 sig = signatures(_bytes(batch.column(1).slice(low, high - low)), shingle, permutations)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([x.tobytes() for x in sig], pa.binary())], [id_col, "signature"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, signature binary")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"{id_col} {kind}, signature binary")
 
 
 def _bytes(texts: pa.Array) -> list[bytes]:
@@ -256,7 +256,7 @@ def compare_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             yield flush(held, held[0][1])
 
     schema = f"{id_col} {kind}, n_chars long, edited string, signature binary, edited_signature binary, near_edited double, near_next double, note {kind}"
-    return in_order(docs, id_col=id_col, text_col=text_col, notes=notes).mapInArrow(run, schema)
+    return in_order(docs, id_col=id_col, text_col=text_col, notes=notes).mapInArrow(lean(run), schema)
 
 
 def band_keys(hashes: np.ndarray, count: np.ndarray, bands: int = BANDS) -> np.ndarray:
@@ -288,7 +288,7 @@ def classes(docs: DataFrame, sign: Callable[[np.ndarray, np.ndarray], np.ndarray
                 node = [xxhash.xxh64_intdigest(x.tobytes(), 42) - 2**63 for x in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node, pa.int64()), pa.array(size), held], ["id", "text_key", "node", "n", "keys"])
 
-    return docs.select(id_col, text_key(text_col), text_col).mapInArrow(run, f"id {kind}, text_key bigint, node bigint, n bigint, keys array<bigint>")
+    return docs.select(id_col, text_key(text_col), text_col).mapInArrow(lean(run), f"id {kind}, text_key bigint, node bigint, n bigint, keys array<bigint>")
 
 
 def _sets(texts: list[bytes], shingle: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -413,7 +413,7 @@ def _stars(pairs: DataFrame, sets: DataFrame, similarity: float, share: int = 12
                         near[begin + 1 : end] = common / (size[begin + 1 : end] + len(centre) - common) >= similarity
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[near], node[near])), pa.array(np.maximum(a[near], node[near]))], ["a", "b"])
 
-    return rows.select("a", "share", "kind", "node", "shingles").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("a", "share", "kind", "node", "shingles").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _rest(members: DataFrame, sets: DataFrame, similarity: float, block: int | None = None) -> DataFrame:
@@ -471,7 +471,7 @@ def _rest(members: DataFrame, sets: DataFrame, similarity: float, block: int | N
         if held:
             yield compare(pa.Table.from_batches(held))
 
-    return rows.select("key", "x", "y", "left", "right", "label", "shingles").mapInArrow(run, "a bigint, b bigint").distinct()
+    return rows.select("key", "x", "y", "left", "right", "label", "shingles").mapInArrow(lean(run), "a bigint, b bigint").distinct()
 
 
 def _alike(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
@@ -514,4 +514,4 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
                 seen |= own.keys()
                 yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], ["node", "shingles"])
 
-    return texts.select("_text").mapInArrow(run, "node bigint, shingles binary")
+    return texts.select("_text").mapInArrow(lean(run), "node bigint, shingles binary")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key, text_of
+from .common import lean, text_key, text_of
 from .minhash import runs
 
 SAMPLE = 3000
@@ -142,7 +142,7 @@ def _voted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             texts = batch.column(0).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array(["".join("-0+"[v + 1] for v in votes(figures(t or b""))) for t in texts], pa.string())], ["pattern"])
 
-    return docs.select(text_col).mapInArrow(run, "pattern string")
+    return docs.select(text_col).mapInArrow(lean(run), "pattern string")
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, dict]:
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
 
     # Rows alike in id and text fall in or out together, so they count once; twice the sample is the most that is taken.
     chosen = docs.where(place < bound).select(place.alias("_place"), text_of(text_col).alias("_text")).dropDuplicates(["_place"]).orderBy("_place").limit(2 * sample)
-    rows = chosen.select("_text").mapInArrow(vectors, "at binary, x binary, y double")
+    rows = chosen.select("_text").mapInArrow(lean(vectors), "at binary, x binary, y double")
     held = sorted((bytes(r.at), bytes(r.x), r.y) for r in rows.collect())  # sorted, so that their order tells nothing
     x = np.zeros((len(held), GRAMS + len(LABELLERS) * RANGES), np.float32)
     for i, (at, values, _) in enumerate(held):
@@ -194,7 +194,7 @@ def score(docs: DataFrame, weights: np.ndarray, *, text_col: str = "text", score
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: float = KEEP) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import bitmap, discard, maybe, partitions, release, text_key, written
+from .common import bitmap, discard, lean, maybe, partitions, release, text_key, written
 from .graph import _held, components
 from .minhash import _mix, runs
 
@@ -106,7 +106,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 held = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, width), pa.int32()), pa.array(rows.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), held], [id_col, "fingerprint"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, fingerprint array<bigint>")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"{id_col} {kind}, fingerprint array<bigint>")
 
 
 def _ball(reach: int, bits: int = PART_BITS) -> list[int]:
@@ -210,7 +210,7 @@ def links(nodes: DataFrame, *, radius: int = 4, reach: int | None = None, block:
         if held:
             yield flush(pa.Table.from_batches(held))
 
-    return sides.select("key", "low", "high", "left", "right", "node", "fingerprint").mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+    return sides.select("key", "low", "high", "left", "right", "node", "fingerprint").mapInArrow(lean(run), "a bigint, b bigint").where("a <> b").distinct()
 
 
 def _moved(masks, value, part: int, bits: int = PART_BITS):
@@ -357,7 +357,7 @@ def _between_labels(rows: DataFrame, words: list[str], radius: int) -> DataFrame
                 b.append(own[member])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return rows.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _meetings(nodes: DataFrame, **options) -> DataFrame:
